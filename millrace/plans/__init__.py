@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ()
+MODULES = ("retrieval", "metrics")
 
 
 def load_all() -> None:
