@@ -26,7 +26,8 @@ def rollup(history: DataFrame, unit: str, partition: list[str], ts: str, totals:
 def gap_sessions(events: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
     """(key, started, ended, n): events of a key with no gap over ``minutes``; a gap of exactly that joins."""
     w = Window.partitionBy(key).orderBy(ts)
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w)) > minutes * 60_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = micros - F.lag(micros).over(w) > minutes * 60_000_000
     marked = events.select(key, ts, F.coalesce(gap.cast("int"), F.lit(0)).alias("_new"))
     numbered = marked.withColumn("_session", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(key, "_session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n")).drop("_session")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "metrics")
+MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling")
 
 
 def load_all() -> None:

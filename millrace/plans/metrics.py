@@ -120,11 +120,11 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "session_means",
-    """SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM events""",
+    """SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM events""",
 )
 def session_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.avg("value").over(w), 6).alias("running_mean"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.avg("value").over(w), 9).alias("running_mean"))
 
 
 @query("cache_hit_rate", "SELECT round(count_if(event_type = 'view') * 100.0 / nullif(count_if(event_type IN ('view', 'click')), 0), 4) AS hit_rate FROM events")

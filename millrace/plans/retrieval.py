@@ -11,10 +11,10 @@ from ..sources.tables import table
 from .registry import query
 
 QUERY = ["the", "than", "thand"]
-TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9_-]{2,}'), x -> lower(x))"
+TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9_-]{2,}'), lambda x: lower(x))"
 BM25_SQL = f"""
 WITH t AS (SELECT doc_id, {TOKENS} AS toks FROM documents),
-r AS (SELECT doc_id, len(toks) AS dl, len(list_filter(toks, x -> x = 'the')) AS f0, len(list_filter(toks, x -> x = 'than')) AS f1, len(list_filter(toks, x -> x = 'thand')) AS f2 FROM t),
+r AS (SELECT doc_id, len(toks) AS dl, len(list_filter(toks, lambda x: x = 'the')) AS f0, len(list_filter(toks, lambda x: x = 'than')) AS f1, len(list_filter(toks, lambda x: x = 'thand')) AS f2 FROM t),
 s AS (SELECT count(*) AS n, avg(dl) AS a, count_if(f0 > 0) AS d0, count_if(f1 > 0) AS d1, count_if(f2 > 0) AS d2 FROM r),
 bm AS (SELECT doc_id, ln((n - d0 + 0.5) / (d0 + 0.5) + 1) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a))
      + ln((n - d1 + 0.5) / (d1 + 0.5) + 1) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a))
