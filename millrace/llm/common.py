@@ -95,3 +95,16 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
 def bucket(bits: int, *cols: Column) -> Column:
     """A number below ``2 ** bits``: sets of them can be broadcast, as their size has a fixed bound."""
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame, gone_key: str, bits: int = 18) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (a long, never null) isn't in ``gone``.
+
+    Only rows whose key falls into a bucket of some key in ``gone`` are shuffled; the set of buckets has a fixed bound.
+    """
+    gone = gone.select(F.col(gone_key).alias("_gone"))
+    buckets = gone.select(bucket(bits, F.col("_gone")).alias("_bucket")).distinct().withColumn("_near", F.lit(True))
+    marked = df.withColumn("_key", key).withColumn("_bucket", bucket(bits, F.col("_key"))).join(F.broadcast(buckets), "_bucket", "left")
+    quiet = marked.filter("_near IS NULL")
+    near = marked.filter("_near").join(gone.distinct(), F.col("_key") == F.col("_gone"), "left_anti")
+    return quiet.unionByName(near).drop("_key", "_bucket", "_near")

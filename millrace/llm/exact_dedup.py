@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, text_of
+from .common import bucket, cut, text_of
 
 KEYS = ["n_bytes", "prefix_hash", "full_hash"]
 
@@ -27,14 +27,16 @@ def exact_dedup(
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
 
     text_sha256 is null for rows that earlier levels have shown to be single, unless ``digest_all``.
-    ``bucket_bits``: the surviving (length, prefix) groups go to the second scan as a set of at most
-    ``2 ** bucket_bits`` numbers; two groups that share one only cost a full hash.
+    ``bucket_bits``: the surviving groups of each level go to the next as a set of at most ``2 ** bucket_bits``
+    numbers, which has a bound and is broadcast; two groups that share one only cost work, never a result.
     """
     rows = text_of(df, id_col, text_col)
     length, prefix = F.octet_length("_text").alias("n_bytes"), F.xxhash64(F.substring("_text", 1, prefix_chars)).alias("prefix_hash")
     keyed = rows.select(length, prefix)
-    by_length = keyed.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes")
-    by_prefix = keyed.join(by_length, "n_bytes", "left_semi").groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    by_length = keyed.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1")
+    lengths = by_length.select(bucket(bucket_bits, F.col("n_bytes")).alias("_bucket")).distinct()
+    same_length = keyed.withColumn("_bucket", bucket(bucket_bits, F.col("n_bytes"))).join(F.broadcast(lengths), "_bucket", "left_semi")
+    by_prefix = same_length.groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")).filter("n > 1")
     survivors = by_prefix.select(bucket(bucket_bits, F.col("n_bytes"), F.col("prefix_hash")).alias("_bucket")).distinct().withColumn("_open", F.lit(True))
 
     hashed = (
@@ -57,14 +59,24 @@ def exact_dedup(
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns; of rows that repeat id and text, one stays."""
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    found = exact_dedup(df, id_col, text_col, digest_all=True).filter("kept").groupBy(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).agg(F.count("*").alias("_copies"))
-    joined = df.withColumn("_sha", digest).join(found, (F.col("_sha") == F.col("_ksha")) & F.col(id_col).eqNullSafe(F.col("_kid")), "inner")
-    once = joined.filter("_copies = 1").select(*[F.col(f"`{c}`") for c in df.columns])
-    many = joined.filter("_copies > 1").dropDuplicates(["_kid", "_ksha"]).select(*[F.col(f"`{c}`") for c in df.columns])
-    return once.unionByName(many)
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 18) -> DataFrame:
+    """The rows of ``df`` that stay, all columns; of rows that repeat id and text, one stays.
+
+    Only rows in a bucket with some row that goes are shuffled; the set of buckets has a fixed bound.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    found = cut(exact_dedup(df, id_col, text_col, digest_all=True).select(F.col(id_col).alias("_kid"), "text_sha256", "kept"))
+    lost = found.filter("NOT kept").select("_kid", "text_sha256").distinct().withColumn("_once", F.lit(False))
+    twice = found.filter("kept").groupBy("_kid", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("_once", F.lit(True))
+    marks = lost.unionByName(twice)
+    buckets = marks.select(bucket(bucket_bits, F.col("text_sha256")).alias("_bucket")).distinct().withColumn("_near", F.lit(True))
+    keyed = df.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    keyed = keyed.withColumn("_bucket", bucket(bucket_bits, F.col("_sha"))).join(F.broadcast(buckets), "_bucket", "left")
+    quiet = keyed.filter("_near IS NULL").select(*columns)
+    near = keyed.filter("_near").join(marks, (F.col("_sha") == F.col("text_sha256")) & F.col(id_col).eqNullSafe(F.col("_kid")), "left")
+    single = near.filter("_once IS NULL").select(*columns)
+    repeated = near.filter("_once").dropDuplicates([id_col, "_sha"]).select(*columns)
+    return quiet.unionByName(single).unionByName(repeated)
 
 
 OP1_SQL = """

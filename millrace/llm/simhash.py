@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, small_batches, sorted_groups, text_of
+from .common import cut, map_arrow, small_batches, sorted_groups, text_of, without
 from .components import components
 
 SEED = 42
@@ -92,6 +92,21 @@ class BKTree:
         return found
 
 
+    def matches(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(node, matching queries) for all queries at once: at each node those go on for which the edge can still match."""
+        stack = [(0, queries)] if self.values else []
+        while stack:
+            at, rest = stack.pop()
+            d = np.bitwise_count(rest ^ np.uint64(self.values[at])).astype(np.int16)
+            near = rest[d <= radius]
+            if len(near):
+                yield at, near
+            for k, child in self.children[at].items():
+                on = rest[np.abs(d - k) <= radius]
+                if len(on):
+                    stack.append((child, on))
+
+
 def _forest(tree_values: list[int], queries: list[int], radius: int) -> tuple[list[int], list[int]]:
     """Links that span what the tree's values and the queries make connected."""
     parent: dict[int, int] = {}
@@ -104,13 +119,15 @@ def _forest(tree_values: list[int], queries: list[int], radius: int) -> tuple[li
 
     a, b = [], []
     tree = BKTree(tree_values)
-    for q in queries:
-        for i in tree.within(q, radius):
-            v = tree_values[i]
-            if v != q and (x := root(q)) != (y := root(v)):
-                parent[max(x, y)] = min(x, y)
-                a.append(q)
-                b.append(v)
+    if len(tree_values) * len(queries) > 10_000:
+        found = ((q, tree_values[i]) for i, near in tree.matches(np.array(queries, np.uint64), radius) for q in near.tolist())
+    else:
+        found = ((q, tree_values[i]) for q in queries for i in tree.within(q, radius))
+    for q, v in found:
+        if v != q and (x := root(q)) != (y := root(v)):
+            parent[max(x, y)] = min(x, y)
+            a.append(q)
+            b.append(v)
     return a, b
 
 
@@ -172,3 +189,60 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fps.join(named.select("fp", "component_id"), "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def similarity(a: str, b: str, width: int) -> float:
+    """Share of the two texts' distinct shingles that both have; 1 for two texts without words."""
+    x, y = (set(shingle_hashes(t, width).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, least: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay, all columns: of near copies, the one with the least id.
+
+    Groups of fingerprints at most ``radius`` bits apart are candidates. In each group the row with the least id (nulls
+    first) stays, and the rows whose distinct shingles agree with its own by ``least`` or more go; what is left
+    of the group is grouped again without it, until no group of two is left. So a row goes only for a row that stays.
+    Rows that repeat id and text stay or go together.
+    """
+    small_batches(df.sparkSession)
+    names = df.columns
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), key.alias("_row"))
+    kinds = dict(texts.dtypes)["_id"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = [fingerprint(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["_id", "_row", "fp"])
+
+    rest = cut(map_arrow(texts, run, f"_id {kinds}, _row long, fp long").distinct())
+    gone = None
+    while True:
+        root = components(cut(near_links(rest, radius)))
+        alone = rest.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+        linked = root.withColumnRenamed("vertex", "fp").unionByName(alone.join(root.select(F.col("vertex").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root")))
+        members = cut(rest.join(linked, "fp"))
+        if members.isEmpty():
+            break
+        first = members.groupBy("root").agg(F.min(F.struct("_id", "_row")).alias("first")).select("root", F.col("first._row").alias("_first"))
+        members = cut(members.join(first, "root").select("_id", "_row", "fp", "root", "_first"))
+        near = texts.join(members.select("_row", "_first").distinct(), "_row").select("_row", "_first", "_text")
+        kept = near.filter("_row = _first").select("_first", F.col("_text").alias("_other")).dropDuplicates(["_first"])
+        pairs = near.filter("_row <> _first").join(kept, "_first").select("_row", "_text", "_other")
+
+        def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+            last, shingles, same = None, set(), []
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if b != last:
+                    last, shingles = b, set(shingle_hashes(b, width).tolist())
+                own = set(shingle_hashes(a, width).tolist())
+                both = len(own & shingles)
+                same.append(both >= least * (len(own) + len(shingles) - both))
+            return pa.record_batch([batch.column(0).filter(pa.array(same, pa.bool_()))], names=["_row"])
+
+        dropped = cut(map_arrow(pairs, judge, "_row long").distinct())
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        rest = cut(members.filter("_row <> _first").join(dropped, "_row", "left_anti").select("_id", "_row", "fp"))
+        if rest.isEmpty():
+            break
+    return df if gone is None else without(df, key, gone, "_row").select(*[F.col(f"`{c}`") for c in names])
