@@ -3,7 +3,9 @@
 With an error budget of e edits an item is split into e + 1 pieces; any text within e edits of the item holds one of
 the pieces unchanged. The pieces of all items form one Aho-Corasick automaton that reads each whole document once.
 Every hit proposes a place for its item, which Myers' bit-parallel distance verifies: the least number of
-insertions, deletions and substitutions between the item and any stretch of the document around that place.
+insertions, deletions and substitutions between the item and any stretch of the document around that place. The pieces
+are the leaves of a tree of halves, each with its share of the budget, and a hit is verified from its leaf up, so most
+chance hits end at a stretch twice the piece's length.
 
 Texts and items are compared in lower case with white space runs as one space. Null counts as empty; empty items
 match nothing. Items go to the tasks in blocks of at most about ``block_bytes`` (one pass over the documents for each),
@@ -27,11 +29,19 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def pieces(item: str, budget: int) -> list[tuple[int, str]]:
-    """(offset, piece) of ``budget + 1`` pieces of nearly equal length; fewer if the item is shorter than that."""
-    n = min(budget + 1, len(item))
-    cuts = [len(item) * i // n for i in range(n + 1)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
+def pieces(start: int, end: int, budget: int, above: tuple = ()) -> list[tuple[int, int, tuple]]:
+    """(start, end, nodes above) of the ``budget + 1`` pieces of an item's stretch; nodes are (start, end, budget).
+
+    A stretch with budget e is halved into parts with budgets that sum to e - 1, so one part keeps within its own; this
+    goes on to pieces with budget 0. A piece that is found leads up only while each node above holds within its budget.
+    Shorter stretches than pieces are wanted give fewer pieces.
+    """
+    if budget == 0 or end - start < 2:
+        return [(start, end, above)]
+    left = budget // 2
+    middle = start + max(1, (end - start) * (left + 1) // (budget + 1))
+    above = ((start, end, budget), *above)
+    return pieces(start, middle, left, above) + pieces(middle, end, budget - left - 1, above)
 
 
 def myers(pattern_bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
@@ -71,50 +81,52 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], share: float):
         self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
-        self.budget = [int(len(t) * share) for _, t in self.items]
-        self.bits: dict[int, dict[str, int]] = {}
-        at: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.bits: dict[tuple[int, int, int], dict[str, int]] = {}
+        at: dict[str, list[tuple[int, int, tuple]]] = defaultdict(list)
         for k, (_, t) in enumerate(self.items):
-            for offset, piece in pieces(t, self.budget[k]):
-                at[piece].append((k, offset))
+            for start, end, above in pieces(0, len(t), int(len(t) * share)):
+                at[t[start:end]].append((k, start, above))
         self.automaton = ahocorasick.Automaton()
         for piece, places in at.items():
             self.automaton.add_word(piece, (len(piece), places))
         if at:
             self.automaton.make_automaton()
 
+    def nearest(self, k: int, start: int, end: int, budget: int, text: str, at: int) -> tuple[int, int] | None:
+        """(distance, end in ``text``) of an item's stretch near the place ``at`` of its item, if within ``budget``."""
+        bits = self.bits.get((k, start, end))
+        if bits is None:
+            bits = self.bits[k, start, end] = bits_of(self.items[k][1][start:end])
+        a = max(0, at + start - budget)
+        d, e = myers(bits, end - start, text[a : max(0, at + end + budget)])
+        return (d, a + e) if d <= budget else None
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item, distance, end in the normalised text) of each item within its budget, at its nearest place."""
         if not self.items:
             return []
         text = normal(text)
-        starts: dict[int, set[int]] = defaultdict(set)
+        best: dict[int, tuple[int, int]] = {}
+        tried: set[tuple[int, int]] = set()
         for end, (n, places) in self.automaton.iter(text):
-            for k, offset in places:
-                starts[k].add(end + 1 - n - offset)
-        found = []
-        for k, places in starts.items():
-            pattern, e = self.items[k][1], self.budget[k]
-            m, best = len(pattern), None
-            lowest = None
-            for p in sorted(places):
-                if lowest is not None and p <= lowest + 2 * e:
-                    continue  # in the stretch that was searched last
-                lowest = p
-                a, b = max(0, p - e), max(0, p + 3 * e + m)
-                window = text[a:b]
-                if (j := window.find(pattern)) >= 0:
-                    best = (0, a + j + m)
-                    break
-                if e:
-                    if k not in self.bits:
-                        self.bits[k] = bits_of(pattern)
-                    d, end = myers(self.bits[k], m, window)
-                    if d <= e and (best is None or d < best[0]):
-                        best = (d, a + end)
-            if best is not None:
-                found.append((self.items[k][0], *best))
-        return sorted(found)
+            for k, start, above in places:
+                if k in best and best[k][0] == 0:
+                    continue
+                at = end + 1 - n - start
+                pattern = self.items[k][1]
+                if at >= 0 and text.startswith(pattern, at):
+                    best[k] = (0, at + len(pattern))
+                    continue
+                if (k, at) in tried or not above:
+                    continue
+                for s, e, budget in above:
+                    found = self.nearest(k, s, e, budget, text, at)
+                    if found is None:
+                        break
+                else:
+                    tried.add((k, at))
+                    best[k] = min(found, best.get(k, found))
+        return sorted((self.items[k][0], *x) for k, x in best.items())
 
 
 def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int):
