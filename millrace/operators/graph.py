@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODE_ORDER = [F.desc("is_exported"), F.desc("complexity"), F.asc("file_path"), F.asc("start_line")]
+
+def node_order() -> list[Column]:
+    """Exported first, then complex, then by place."""
+    return [F.desc("is_exported"), F.desc("complexity"), F.asc("file_path"), F.asc("start_line")]
 
 
 def find_symbol(nodes: DataFrame, name: str) -> DataFrame:
@@ -16,7 +19,7 @@ def find_symbol(nodes: DataFrame, name: str) -> DataFrame:
 def find_symbol_fuzzy(nodes: DataFrame, name: str, limit: int = 10) -> DataFrame:
     """Names that contain ``name`` in any case, but are not it."""
     found = nodes.filter(F.contains(F.lower("name"), F.lit(name.lower())) & (F.col("name") != name))
-    return found.orderBy(*NODE_ORDER).limit(limit)
+    return found.orderBy(*node_order()).limit(limit)
 
 
 def impact(edges: DataFrame, symbol: str, depth: int = 2) -> DataFrame:

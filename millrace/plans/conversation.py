@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import signals
 from ..functions.text import char_tokens, short_hash
@@ -19,9 +20,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
-AFTER = BY_TURN.rowsBetween(1, Window.unboundedFollowing)
-WHOLE = Window.partitionBy("conv_id")
+def by_turn() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 @query(
@@ -31,7 +31,7 @@ WHOLE = Window.partitionBy("conv_id")
 )
 def age_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tool result is recent while fewer than two assistant messages follow it."""
-    n = F.coalesce(F.sum((F.col("role") == "assistant").cast("int")).over(AFTER), F.lit(0))
+    n = F.coalesce(F.sum((F.col("role") == "assistant").cast("int")).over(by_turn().rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
     return messages(spark, sf_dir).withColumn("n", n).filter("is_tool").select("conv_id", "turn", F.col("n").alias("assistants_after"), (F.col("n") < 2).alias("recent"))
 
 
@@ -68,11 +68,11 @@ def _status_sql() -> str:
 )
 def message_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each message judged as the current one: tool result, tools in the six before, reply to a status, or a task."""
-    before = BY_TURN.rowsBetween(-6, -1)
+    before = by_turn().rowsBetween(-6, -1)
     w = messages(spark, sf_dir).withColumns(
         {
             "tools": F.coalesce(F.bool_or("is_tool").over(before), F.lit(False)),
-            "prior": F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(BY_TURN.rowsBetween(Window.unboundedPreceding, -1)),
+            "prior": F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(by_turn().rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
     status = F.col("prior").isNotNull() & signals.is_status(F.col("prior")) & (F.length(F.trim("text")) < 150) & ~F.col("text").rlike("(?i)" + signals.TASK)
@@ -106,7 +106,7 @@ def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def history_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long tool results go once a human message has followed, but for the most recent one."""
-    last = lambda cond: F.max(F.when(cond, F.col("turn"))).over(WHOLE)
+    last = lambda cond: F.max(F.when(cond, F.col("turn"))).over(Window.partitionBy("conv_id"))
     w = messages(spark, sf_dir).withColumns({"lu": last(F.col("role") == "user"), "lt": last(F.col("is_tool"))})
     return w.select("conv_id", "turn", F.expr("is_tool AND length(text) > 200 AND turn <> lt AND turn < lu").alias("pruned"))
 
@@ -185,7 +185,7 @@ def compression_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {MESSAGES_SQL} SELECT conv_id, turn, bool_or(is_tool) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS active FROM m",
 )
 def tool_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).select("conv_id", "turn", F.bool_or("is_tool").over(BY_TURN.rowsBetween(-5, 0)).alias("active"))
+    return messages(spark, sf_dir).select("conv_id", "turn", F.bool_or("is_tool").over(by_turn().rowsBetween(-5, 0)).alias("active"))
 
 
 @query(

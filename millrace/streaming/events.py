@@ -31,21 +31,23 @@ def unseen(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def running_means(events: DataFrame) -> DataFrame:
+def running_means(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """(user_id, n, mean) after each batch, by state of two numbers for a client, which ends two idle hours later."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n, total = state.get if state.exists else (0, 0.0)
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
         for frame in frames:
             n, total = n + len(frame), total + float(frame["value"].sum())
-        state.update((n, total))
-        state.setTimeoutDuration(2 * 60 * 60 * 1000)
+            last = max(last, int(frame["ts"].max().timestamp() * 1000))
+        state.update((n, total, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 2 * 60 * 60 * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [total / n if n else 0.0]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, mean double", "n long, total double", "update", "ProcessingTimeTimeout")
+    kept = events.withWatermark("ts", late).select("user_id", "ts", "value")
+    return kept.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, mean double", "n long, total double, last long", "update", "EventTimeTimeout")
 
 
 def start(stream: DataFrame, sink: str, name: str, checkpoint: str, mode: str = "append"):
