@@ -15,6 +15,7 @@ so what is sent has a bound whatever the size of the benchmark.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 
 import ahocorasick
@@ -139,15 +140,16 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int
         yield [(r["_id"], r["_text"]) for r in part.select("_id", "_text").collect()]
 
 
-_MATCHERS: dict[str, Matcher] = {}
+_MATCHERS: dict[tuple[str, float], Matcher] = {}
 
 
 def _matcher(shared, share: float) -> Matcher:
-    key = f"{shared.id if hasattr(shared, 'id') else id(shared)}:{share}"
-    if key not in _MATCHERS:
+    """The matcher of a broadcast block, built once in a worker; the block's name tells it from others."""
+    name, items = shared.value
+    if (name, share) not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(shared.value, share)
-    return _MATCHERS[key]
+        _MATCHERS[name, share] = Matcher(items, share)
+    return _MATCHERS[name, share]
 
 
 def contaminated(
@@ -163,7 +165,7 @@ def contaminated(
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, distance int, end long"
     out = None
     for block in item_blocks(items, item_id, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             matcher = _matcher(shared, share)
@@ -186,7 +188,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     spark = docs.sparkSession
     small_batches(spark)
     for block in item_blocks(items, item_id, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             matcher = _matcher(shared, share)

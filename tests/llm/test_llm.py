@@ -1,0 +1,437 @@
+"""The training-data operators against brute force, on small inputs with nulls, empties, ties, repeats and clashes."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, bwt, cdc, components, decontaminate, exact_dedup, html_extract, pii, simhash, suffix_dedup, toxicity, warc
+from millrace.llm.common import without
+
+DOCS = "doc_id long, text string, lang string, _text string, keep_id long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(n))
+
+
+def frame(spark, rows):
+    """documents with extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, "en", "clash", 7) for i, t in rows], DOCS)
+
+
+LONG = words(1, 400)
+ROWS = [(1, LONG), (2, LONG), (3, None), (4, ""), (5, words(2, 60)), (6, words(2, 60)), (7, "x"), (7, "x"), (None, words(3, 50)), (8, LONG + " tail"), (9, "größe ñ 日本語 \U0001f600"), (None, "x")]
+
+
+def text(t):
+    return t or ""
+
+
+@pytest.mark.parametrize("digest_all", [True, False])
+def test_exact_dedup(spark, digest_all):
+    got = exact_dedup.exact_dedup(frame(spark, ROWS), digest_all=digest_all).collect()
+    assert len(got) == len(ROWS)
+    groups = {}
+    for i, t in ROWS:
+        groups.setdefault(text(t), []).append(i)
+    want = Counter()
+    for i, t in ROWS:
+        g = groups[text(t)]
+        keep = max((x for x in g if x is not None), default=None)
+        want[(i, keep, len(g), i == keep)] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
+    if digest_all:
+        assert Counter(r["text_sha256"] for r in got) == Counter(hashlib.sha256(text(t).encode()).hexdigest() for _, t in ROWS)
+
+
+def test_exact_drop_copies(spark):
+    kept = exact_dedup.drop_copies(frame(spark, ROWS))
+    assert kept.columns == ["doc_id", "text", "lang", "_text", "keep_id"]
+    got = sorted((text(r["text"]), r["doc_id"]) for r in kept.collect() if text(r["text"]) != words(3, 50))
+    assert got == sorted([("", 4), (LONG, 2), (words(2, 60), 6), ("x", 7), (LONG + " tail", 8), (ROWS[10][1], 9)])
+    assert exact_dedup.drop_copies(frame(spark, [])).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(4)
+    e = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    parent = {x: x for p in e for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in e:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(e + [(None, 1)], "a long, b long")
+    got = {x["vertex"]: x["root"] for x in components.components(df).collect()}
+    assert got == {x: root(x) for x in parent if any(x in p and p[0] != p[1] for p in e)}
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_bk_tree_and_links(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(60)]
+    values = base + [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(1, 8))) for b in base]
+    tree = simhash.BKTree(values)
+    for q in values[::7]:
+        want = {i for i, v in enumerate(values) if (v ^ q).bit_count() <= 5}
+        assert set(tree.within(q, 5)) == want
+        assert {i for i, near in tree.matches(np.array([q], np.uint64), 5) for _ in near} == want
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    for size in (4096, 8):  # whole shards, and shards of many trees
+        links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, size).collect()
+        u = lambda x: x % (1 << 64)
+        assert all((u(x["a"]) ^ u(x["b"])).bit_count() <= 4 for x in links)
+        joined = {x["vertex"]: x["root"] for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()} if links else {}
+        for i, a in enumerate(values):
+            for j in range(i):
+                if 0 < (a ^ values[j]).bit_count() <= 4:
+                    assert joined[signed[i]] == joined[signed[j]]
+
+
+def brute_fingerprint(t, width):
+    import xxhash
+
+    w = [x for x in text(t).encode().lower().split()]
+    if not w:
+        return 0
+    sh = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_groups(spark):
+    rows = ROWS + [(20, "A  b\tc\nD e"), (21, "a b c d e"), (22, " "), (23, " \x0b ")]
+    got = simhash.simhash_groups(frame(spark, rows)).collect()
+    fps = [(i, brute_fingerprint(t, 4)) for i, t in rows]
+    comp = [{i} for i in range(len(fps))]
+    for i, (_, a) in enumerate(fps):
+        for j, (_, b) in enumerate(fps):
+            if (a ^ b).bit_count() <= 4 and comp[i] is not comp[j]:
+                comp[i] |= comp[j]
+                for k in list(comp[i]):
+                    comp[k] = comp[i]
+    want = Counter()
+    for k, (i, a) in enumerate(fps):
+        want[(i, f"{a:016x}", min((fps[x][0] for x in comp[k] if fps[x][0] is not None), default=None))] += 1
+    assert Counter(tuple(r) for r in got) == want
+    assert simhash.simhash_groups(frame(spark, [])).count() == 0
+
+
+def test_near_copies_go_and_clean_ones_stay(spark):
+    base = words(11, 600).split()
+    near = base[:]
+    near[300] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, words(12, 600)), (4, ""), (5, None), (6, "one two"), (None, words(13, 80))]
+    kept = simhash.drop_near_copies(frame(spark, rows), radius=9)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(ids) >= {1, 3, 6, None} and 2 not in ids and len(ids) == len(set(ids))
+    assert simhash.similarity(rows[0][1], rows[1][1], 5) >= 0.8
+    assert simhash.drop_near_copies(frame(spark, [])).count() == 0
+
+
+def test_without(spark):
+    df = spark.range(100)
+    gone = spark.createDataFrame([(3,), (3,), (50,), (1000,)], "g long")
+    assert sorted(r["id"] for r in without(df, F.col("id"), gone, "g").collect()) == [x for x in range(100) if x not in (3, 50)]
+
+
+def tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    enc = bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return P, enc, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(spark):
+    P, enc, want = tokenizer()
+    r = random.Random(2)
+    samples = [text(t) for _, t in ROWS] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x2FFF), 32, 10])) for _ in range(200)) for _ in range(60)] + ["a" * 3000, " " * 100, "\r\n\t " * 30, "0123456789" * 20]
+    for t in samples:
+        ids = enc.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == want.encode_ordinary(t)
+        assert enc.decode(ids) == t.encode()
+    got = {(x["doc_id"], bytes(x["decoded"]).decode()): x["n_tokens"] for x in bpe.encode(frame(spark, ROWS), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got == {(i, text(t)): len(want.encode_ordinary(text(t))) for i, t in ROWS}
+
+
+def test_bpe_appends_and_edits():
+    _, enc, _ = tokenizer()
+    r = random.Random(5)
+    data = "".join(r.choice(WORDS) for _ in range(12)).encode()
+    last = enc.extend(data, [])
+    assert enc.read(last) == enc.merge(data)
+    data, last = enc.append(data, last, b"theend\xff\x00")
+    assert enc.read(last) == enc.merge(data)
+    data, last = enc.edit(data, last, 9, 14, b"QQ")
+    assert enc.read(last) == enc.merge(data)
+
+
+def brute_repeats(rows, width):
+    data = [text(t).encode() for _, t in rows]
+    seen = Counter(b[i : i + width] for b in data for i in range(len(b) - width + 1))
+    out = Counter()
+    for (i, _), b in zip(rows, data):
+        mask = bytearray(len(b))
+        for k in range(len(b) - width + 1):
+            if seen[b[k : k + width]] > 1:
+                mask[k : k + width] = b"\x01" * width
+        spans = sum(1 for k in range(len(b)) if mask[k] and not (k and mask[k - 1]))
+        out[(i, len(b), sum(mask), spans, bytes(x for x, m in zip(b, mask) if not m))] += 1
+    return out
+
+
+@pytest.mark.parametrize("group_limit", [50_000, 1])
+def test_suffix_dedup_equals_brute_force(spark, group_limit):
+    shared = words(30, 60)
+    rows = ROWS + [(30 + k, words(40 + k, 20) + " " + shared + " " + words(60 + k, 20)) for k in range(6)]
+    rows += [(50, "ab " * 200), (51, "z" * 150), (52, words(2, 60)[:230]), (53, shared[40:260]), (54, words(70, 30) + shared[:199]), (55, "é" * 300)]
+    got = suffix_dedup.suffix_dedup(frame(spark, rows), width=200, group_limit=group_limit).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == brute_repeats(rows, 200)
+    assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
+
+
+def test_column_order():
+    r = random.Random(1)
+    for _ in range(60):
+        m, width = r.randint(1, 8), 10
+        skip = [r.randint(0, 3) for _ in range(m)]
+        strings = [bytes(r.choice(b"ab\x00\xff") for _ in range(r.randint(0, width - k))) for k in skip]
+        group = [r.randint(0, 1) for _ in range(m)]
+        table = bwt.aligned(strings, skip, width)
+        for column, order, lcp, transform in bwt.column_order(table, np.array(group)):
+            suffixes = [(group[i], tuple(table[column:, i].tolist())) for i in order]
+            assert suffixes == sorted(suffixes)
+            assert transform.tolist() == [int(table[column - 1, i]) if column else 0 for i in order]
+            for k in range(1, m):
+                (g, a), (h, b) = suffixes[k - 1], suffixes[k]
+                n = 0
+                while g == h and n < len(a) and a[n] == b[n] > 0:
+                    n += 1
+                assert lcp[k] == n
+
+
+def test_chunks():
+    r = random.Random(8)
+    data = bytes(r.randrange(256) for _ in range(30_000))
+    table = [int(x) for x in cdc.GEAR]
+    h, slow = 0, []
+    for b in data[:500]:
+        h = ((h << 1) + table[b]) & 0xFFFFFFFF
+        slow.append(h)
+    assert cdc.gear(np.frombuffer(data[:500], np.uint8)).tolist() == slow
+    ends = cdc.chunk_ends(data)
+    assert ends[-1] == len(data) and max(b - a for a, b in zip([0, *ends], ends)) <= 512
+    moved = cdc.chunk_ends(b"inserted" + data)
+    assert len(set(ends) - {e - 8 for e in moved}) < 10
+    assert cdc.chunk_ends(b"") == [] and cdc.chunk_ends(b"ab") == [2]
+
+
+def test_substring_dedup(spark):
+    passage = words(90, 70)
+    rows = ROWS + [(60 + k, words(100 + k, 50) + " " + passage + " " + words(120 + k, 50)) for k in range(4)]
+    got = cdc.substring_dedup(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {(r["doc_id"], r["n_bytes"]): r for r in got}
+    assert by[1, len(LONG)]["n_removed"] == 0 and by[2, len(LONG)]["n_removed"] == len(LONG)
+    clean = by[60, len(rows[-4][1].encode())]
+    assert clean["n_removed"] == 0
+    for i, t in rows[-3:]:
+        r = by[i, len(t.encode())]
+        assert 200 < r["n_removed"] <= len(passage) + 2
+        cut = b"".join(t.encode()[a:b] for a, b in zip([0, *[s["end"] for s in r["spans"]]], [*[s["start"] for s in r["spans"]], len(t.encode())]))
+        assert bytes(r["kept"]) == cut
+    assert cdc.substring_dedup(frame(spark, [])).count() == 0
+
+
+def distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, x in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+        row = new
+    return min(row)
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(6)
+    items = [(k, "".join(r.choice("abcd ") for _ in range(r.randint(1, 60)))) for k in range(12)] + [(20, None), (21, "  "), (22, words(1, 9))]
+    docs = []
+    for k in range(25):
+        t = list(r.choice(items[:12])[1])
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.randint(0, 1)] = r.choice(["", "a", "d"])
+        docs.append((k, "".join(r.choice("abcd ") for _ in range(20)) + "".join(t).upper() + "ccc"))
+    docs += [(90, None), (91, ""), (92, words(1, 400)), (93, words(5, 50))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (4 << 20, 200):
+        got = {(x["doc_id"], x["item_id"]): x["distance"] for x in decontaminate.contaminated(frame(spark, docs), bench, share=0.2, block_bytes=block).collect()}
+        want = {}
+        for i, t in docs:
+            for k, p in items:
+                p = decontaminate.normal(text(p))
+                if p and (d := distance(p, decontaminate.normal(text(t)))) <= int(len(p) * 0.2):
+                    want[i, k] = d
+        assert got == want
+    kept = decontaminate.clean(frame(spark, docs), bench, share=0.2)
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted({i for i, _ in docs} - {i for i, _ in want})
+    assert decontaminate.clean(frame(spark, docs), bench.limit(0)).count() == len(docs)
+
+
+def test_toxicity(spark):
+    bad = ["idiot", "scum", "moron"]
+    docs, labels = [], []
+    for k in range(300):
+        toxic = k % 5 == 0
+        docs.append((k, words(1000 + k, 40) + (" " + bad[k // 5 % 3] + " " + words(5000 + k, 5) if toxic else "")))
+        labels.append((k, 1, int(toxic)))
+    docs += [(900, None), (901, ""), (None, "idiot"), (902, "You IDIOT!"), (902, "You IDIOT!")]
+    df, lab = frame(spark, docs), spark.createDataFrame(labels + [(None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, lab, usable=~toxicity.held_out(F.col("doc_id")))
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 for r in got)
+    held = {r["doc_id"] for r in df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).filter("h").collect()}
+    right = [r["predicted"] == int(r["doc_id"] % 5 == 0) for r in got if r["doc_id"] in held and r["doc_id"] < 300]
+    assert len(right) > 50 and sum(right) / len(right) > 0.95
+    assert all(r["predicted"] == 1 and r["evidence"] for r in got if r["doc_id"] == 902)
+    left = toxicity.accepted(df, model)
+    assert left.columns == df.columns and left.count() == sum(r["predicted"] == 0 for r in got)
+    empty = toxicity.fit(df, lab.limit(0))
+    assert {r["score"] for r in toxicity.score(df, empty).collect()} == {0.0}
+
+
+def test_nearest_examples_are_exact():
+    r = np.random.default_rng(3)
+    dense = np.where(r.random((400, 20)) < 0.2, r.random((400, 20)), 0).astype(np.float32)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    n = -(-400 // toxicity.BLOCK)
+    bounds = np.stack([dense[i * toxicity.BLOCK : (i + 1) * toxicity.BLOCK].max(0) for i in range(n)], 1)
+    m = toxicity.Model({}, np.ones(20), dense, bounds, np.zeros(400), np.ones(400), list(range(400)), 15, 0.0)
+    for q in dense[:40]:
+        t = np.flatnonzero(q)
+        if len(t):
+            _, cosines = m.nearest(tuple(t.tolist()), q[t])
+            assert np.allclose(cosines, np.sort(dense @ q)[::-1][:15], atol=1e-5)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+<div class="ad">Buy</div><aside>Side</aside><article><header><h1>Head &amp; line</h1></header><p>First   <b>bold</b> text.<br>More<p>Second &eacute;&nbsp;x<div class="comments"><p>Reader says</p></div><form>f</form></article>
+<section id="user-comments"><p>nice</p></section><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_rules():
+    assert html_extract.main_text(html_extract.blocks(PAGE), []) == "Head & line\nFirst bold text. More\nSecond é x"
+    assert html_extract.blocks("") == [] and html_extract.blocks("<p>a<p>b</p>c <!-- x -->d <img alt='y'>") == [(0, "a"), (0, "b"), (0, "c d")]
+    assert html_extract.blocks("<p>cut <a href='x") == [(0, "cut")]
+    assert html_extract.blocks("a < b and 1 > 0") == [(0, "a < b and 1 > 0")]
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    r = random.Random(7)
+    for _ in range(200):
+        a, b = ([r.choice("abcde") for _ in range(r.randint(0, 9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = sorted(html_extract.shared_lines(a, b))
+        assert len(got) == best[-1][-1]
+        it = iter(b)
+        assert all(any(a[i] == y for y in it) for i in got)
+
+
+def test_template_lines_go(spark):
+    def page(body):
+        return f"<body><p>Menu of the site<p>Welcome{body}<p>All about us</body>"
+
+    rows = [(1, "http://h.com/a/1", page("<p>Own one is rather long text of its own")), (2, "http://h.com/a/2", page("<p>Own two is another long piece of text")), (3, "http://other.com/", page("<p>Own three")), (4, None, "<p>x"), (5, "http://h.com/a/1#top", page("<p>Own one is rather long text of its own")), (6, "http://z.com/1", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(df.coalesce(1)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert got[3][0] == "Menu of the site\nWelcome\nOwn three\nAll about us" and got[4] == ("x", 1) and got[6] == ("", 0)
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    tricky = "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n\x00é"
+    rows = [(1, "http://a.com/x y", "same"), (2, None, "same"), (3, "http://a.com/é", tricky), (4, "u", None), (5, "u", ""), (None, "v", "same"), (6, "w", "y" * 300_000), (7, "r", "rep"), (7, "r", "rep")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash"))
+    got = warc.captures(df).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for i, _, h in rows:
+        data = text(h).encode()
+        same = [x for x, _, y in rows if text(y) == text(h)]
+        top = max((x for x in same if x is not None), default=None)
+        again = len(same) > 1 and i != top
+        want[(i, len(data), warc.base32_sha1(data), "revisit" if again else "response", top if again else None)] += 1
+    take = lambda f, k: None if f.get(k) is None else int(f[k])
+    seen = Counter((take(r["metadata"]["fields"], "page-id"), take(r["metadata"]["fields"], "payload-bytes"), r["main"]["payload_digest"], r["main"]["record_type"], take(r["metadata"]["fields"], "refers-to-page-id")) for r in got)
+    assert seen == want
+    assert all(r["request"]["record_id"] for r in got)
+    assert warc.captures(df.limit(0)).count() == 0
+
+
+def test_pii(spark):
+    rows = [
+        (1, "Mail anna.b@corp.example or ANNA.B@corp.example, call +1 (212) 555-0100 or 212-555-0100."),
+        (2, "Card 4111 1111 1111 1111 and 4111111111111111; host 10.1.2.3; ssn 123-45-6789; key 0123456789abcdef0123456789abcdef"),
+        (3, "Mrs. Jane Miller met Mr Miller and Herr MILLER. г-жа Анна Петрова"),
+        (4, None), (5, ""), (6, "Nothing to see: 12 words, 3.5 percent"), (7, "a@b.co"), (7, "a@b.co"), (None, "x@y.org"),
+    ]
+    got = pii.surrogates(frame(spark, rows), key="k").collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    one = by[1]["text"]
+    mails = __import__("re").findall(pii.PATTERNS["email"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), one)
+    assert len(set(mails)) == 1 and "anna" not in one.lower() and "555-0100" not in one
+    phones = [x for x in one.replace("(", "").replace(")", "").replace("+1 ", "").split("call ")[1].rstrip(".").split(" or ")]
+    assert phones[0].replace(" ", "-") == phones[1]
+    cards = by[2]["text"].split("Card ")[1].split("; host")[0].split(" and ")
+    assert cards[0].replace(" ", "") == cards[1] and cards[1] != "4111111111111111"
+    digits = [int(c) for c in cards[1]][::-1]
+    assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    three = by[3]["text"]
+    assert "Miller" not in three and "MILLER" not in three and three.startswith("Mrs. ") and three.split()[1] in pii.GIVEN["f"]
+    assert three.split("Mrs. ")[1].split()[1].lower() == three.split("Mr ")[1].split()[0].lower() == three.split("Herr ")[1].split(".")[0].lower()
+    assert three.split("г-жа ")[1].split()[0] in pii.GIVEN["fc"]
+    assert by[4]["text"] is None and by[5]["text"] == "" and by[6]["text"] == rows[5][1] and by[6]["n_entities"] == 0
+    assert by[2]["kinds"] == ["card", "card", "ip", "ssn", "secret"]
+    again = pii.surrogates(frame(spark, rows), key="k").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in again)
+    assert by[1]["text"] != {r["doc_id"]: r for r in pii.surrogates(frame(spark, rows), key="other").collect()}[1]["text"]
+    assert pii.surrogates(frame(spark, [])).count() == 0
+
+
+def test_replacements_stay_distinct(spark):
+    names = spark.range(3000).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 4, "0").alias("canon"))
+    d = pii.dictionary(names, "k")
+    assert d.count() == d.select("core").distinct().count() == 3000
+    assert d.join(names.select(F.col("canon").alias("core")), "core").count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from conftest import SF
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "byte_bpe"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, kept = docs.columns, docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, SF).cache()
+        assert out.columns == names and out.count() <= kept.count()
+        kept = out
+    assert kept.groupBy("text").count().filter("count > 1").count() == 0
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in kept.collect())
