@@ -197,7 +197,7 @@ def similarity(a: str, b: str, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, least: float = 0.8) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` that stay, all columns: of near copies, the one with the least id.
 
     Groups of fingerprints at most ``radius`` bits apart are candidates. In each group the row with the least id (nulls
