@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction")
+MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction", "requests")
 
 
 def load_all() -> None:
