@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction", "requests")
+MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction", "requests", "code")
 
 
 def load_all() -> None:

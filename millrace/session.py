@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted((root / "millrace").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(packed))
+    sc._millrace_shipped = True

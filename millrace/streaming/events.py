@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -46,6 +48,7 @@ def running_means(events: DataFrame, late: str = "2 hours") -> DataFrame:
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 2 * 60 * 60 * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [total / n if n else 0.0]})
 
+    ship(events.sparkSession)
     kept = events.withWatermark("ts", late).select("user_id", "ts", "value")
     return kept.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, mean double", "n long, total double, last long", "update", "EventTimeTimeout")
 

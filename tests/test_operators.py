@@ -198,3 +198,22 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination()
     got = {r["user_id"]: r["n"] for r in spark.table("means").collect()}
     assert got == {r["user_id"]: r["n"] for r in batch.groupBy("user_id").agg(F.count("*").alias("n")).collect()} | {-1: 1}
+
+
+def test_parsed_code():
+    from millrace.functions import code
+
+    source = "def f(a):\n    if a and a > 1 or not a:\n        return 1\n    return [x for x in a]\n\nasync def g():\n    try:\n        pass\n    except E:\n        pass\n"
+    f, g = code.functions_of(source)
+    assert (f["name"], f["complexity"], f["is_async"], f["end_line0"]) == ("f", 5, False, 3) and g["is_async"] and g["has_try"]
+    assert code.functions_of("def (") == [] and code.skeleton_of(source) == source
+    long = "def h():\n" + "\n".join(f"    line{i} = {i}" for i in range(30)) + "\nafter = 1"
+    assert code.skeleton_of(long) == "def h():\n    line0 = 0\n    line1 = 1\n    # ... 28 lines\nafter = 1"
+
+
+def test_diffs_and_prefixes():
+    from millrace.functions import code
+
+    assert code.diff_of("a\nb\nc\nd", "a\nx\nc\nd") == " a\n-b\n+x\n c"
+    assert code.diff_of("a", "a") == "" and code.diff_of("", "a") == "-\n+a"
+    assert code.static_prefix_of("Rules.\nDate: 2024-01-01\nCurrent state:\n  - one\n  - two\nMore rules.") == "Rules.\nMore rules."
