@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, small_batches, sorted_groups, text_of, without
+from .common import bucket, cut, map_arrow, small_batches, sorted_groups, text_of, without
 from .components import components
 
 SEED = 42
@@ -107,8 +107,8 @@ class BKTree:
                     stack.append((child, on))
 
 
-def _forest(tree_values: list[int], queries: list[int], radius: int) -> tuple[list[int], list[int]]:
-    """Links that span what the tree's values and the queries make connected."""
+def _forest(tree_values: list[int], queries: list[int], radii: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """Links that span what the tree's values and the queries make connected, with nearer links first by ``radii``."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -119,15 +119,16 @@ def _forest(tree_values: list[int], queries: list[int], radius: int) -> tuple[li
 
     a, b = [], []
     tree = BKTree(tree_values)
-    if len(tree_values) * len(queries) > 10_000:
-        found = ((q, tree_values[i]) for i, near in tree.matches(np.array(queries, np.uint64), radius) for q in near.tolist())
-    else:
-        found = ((q, tree_values[i]) for q in queries for i in tree.within(q, radius))
-    for q, v in found:
-        if v != q and (x := root(q)) != (y := root(v)):
-            parent[max(x, y)] = min(x, y)
-            a.append(q)
-            b.append(v)
+    for radius in radii:
+        if len(tree_values) * len(queries) > 10_000:
+            found = ((q, tree_values[i]) for i, near in tree.matches(np.array(queries, np.uint64), radius) for q in near.tolist())
+        else:
+            found = ((q, tree_values[i]) for q in queries for i in tree.within(q, radius))
+        for q, v in found:
+            if v != q and (x := root(q)) != (y := root(v)):
+                parent[max(x, y)] = min(x, y)
+                a.append(q)
+                b.append(v)
     return a, b
 
 
@@ -137,8 +138,11 @@ def blocks_of(radius: int) -> list[tuple[int, int]]:
     return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
 
 
-def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096) -> DataFrame:
-    """(a, b) longs: links that span all pairs of distinct ``fps.fp`` at most ``radius`` bits apart."""
+def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096, nearer: tuple[int, ...] = ()) -> DataFrame:
+    """(a, b) longs: links that span all pairs of distinct ``fps.fp`` at most ``radius`` bits apart.
+
+    ``nearer``: smaller radii whose links are taken first, so that the links span the pairs within those too.
+    """
     small_batches(fps.sparkSession)
     distinct = cut(fps.select("fp").distinct())
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for i, (s, w) in enumerate(blocks_of(radius))])
@@ -157,7 +161,7 @@ def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096) -> DataFr
         for group in sorted_groups(batches, ["shard", "own", "tree"]):
             is_query = group.column("query").to_numpy() == 1
             values = group.column("fp").to_numpy().view(np.uint64)
-            x, y = _forest(values[~is_query].tolist(), values[is_query].tolist(), radius)
+            x, y = _forest(values[~is_query].tolist(), values[is_query].tolist(), (*nearer, radius))
             a += x
             b += y
             if len(a) > 50_000:
@@ -198,11 +202,11 @@ def similarity(a: str, b: str, width: int) -> float:
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay, all columns: of near copies, the one with the least id.
+    """The rows of ``df`` that stay, all columns: of each group of near copies, the one with the least id (nulls first).
 
-    Groups of fingerprints at most ``radius`` bits apart are candidates. In each group the row with the least id (nulls
-    first) stays, and the rows whose distinct shingles agree with its own by ``least`` or more go; what is left
-    of the group is grouped again without it, until no group of two is left. So a row goes only for a row that stays.
+    Links between fingerprints at most ``radius`` bits apart, nearer ones first, are candidates; at most one for each
+    fingerprint and shard. A link holds if the two texts share ``least`` of their distinct shingles; groups are
+    the components of the links that hold. Rows with one fingerprint are linked to the first of them.
     Rows that repeat id and text stay or go together.
     """
     small_batches(df.sparkSession)
@@ -215,34 +219,32 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         fps = [fingerprint(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["_id", "_row", "fp"])
 
-    rest = cut(map_arrow(texts, run, f"_id {kinds}, _row long, fp long").distinct())
-    gone = None
-    while True:
-        root = components(cut(near_links(rest, radius)))
-        alone = rest.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-        linked = root.withColumnRenamed("vertex", "fp").unionByName(alone.join(root.select(F.col("vertex").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root")))
-        members = cut(rest.join(linked, "fp"))
-        if members.isEmpty():
-            break
-        first = members.groupBy("root").agg(F.min(F.struct("_id", "_row")).alias("first")).select("root", F.col("first._row").alias("_first"))
-        members = cut(members.join(first, "root").select("_id", "_row", "fp", "root", "_first"))
-        near = texts.join(members.select("_row", "_first").distinct(), "_row").select("_row", "_first", "_text")
-        kept = near.filter("_row = _first").select("_first", F.col("_text").alias("_other")).dropDuplicates(["_first"])
-        pairs = near.filter("_row <> _first").join(kept, "_first").select("_row", "_text", "_other")
-
-        def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-            last, shingles, same = None, set(), []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if b != last:
-                    last, shingles = b, set(shingle_hashes(b, width).tolist())
-                own = set(shingle_hashes(a, width).tolist())
-                both = len(own & shingles)
-                same.append(both >= least * (len(own) + len(shingles) - both))
-            return pa.record_batch([batch.column(0).filter(pa.array(same, pa.bool_()))], names=["_row"])
-
-        dropped = cut(map_arrow(pairs, judge, "_row long").distinct())
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        rest = cut(members.filter("_row <> _first").join(dropped, "_row", "left_anti").select("_id", "_row", "fp"))
-        if rest.isEmpty():
-            break
-    return df if gone is None else without(df, key, gone, "_row").select(*[F.col(f"`{c}`") for c in names])
+    rows = cut(map_arrow(texts, run, f"_id {kinds}, _row long, fp long"))
+    first = rows.groupBy("fp").agg(F.min(F.struct("_id", "_row")).alias("f")).select("fp", F.col("f._row").alias("first"))
+    same = rows.join(first, "fp").filter("_row <> first").select(F.col("_row").alias("a"), F.col("first").alias("b"))
+    links = near_links(rows, radius, nearer=(2, 4)).distinct()
+    ends = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("rb")), "b")
+    pairs = cut(same.unionByName(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).distinct())
+
+    wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
+    keys = wanted.select(bucket(18, F.col("_row")).alias("_bucket")).distinct()
+    some = texts.select("_row", "_text", bucket(18, F.col("_row")).alias("_bucket")).join(F.broadcast(keys), "_bucket", "left_semi")
+    needed = some.join(wanted, "_row", "left_semi").dropDuplicates(["_row"]).select("_row", "_text")
+    both = pairs.join(needed.select(F.col("_row").alias("a"), F.col("_text").alias("x")), "a").join(needed.select(F.col("_row").alias("b"), F.col("_text").alias("y")), "b")
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        last, shingles, holds = None, set(), []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if y != last:
+                last, shingles = y, set(shingle_hashes(y, width).tolist())
+            own = set(shingle_hashes(x, width).tolist())
+            common = len(own & shingles)
+            holds.append(common >= least * (len(own) + len(shingles) - common))
+        mask = pa.array(holds, pa.bool_())
+        return pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    held = components(map_arrow(both.select("a", "b", "x", "y"), judge, "a long, b long"))
+    members = rows.select("_id", "_row").distinct().join(held.withColumnRenamed("vertex", "_row"), "_row")
+    stays = members.groupBy("root").agg(F.min(F.struct("_id", "_row")).alias("f")).select("root", F.col("f._row").alias("stay"))
+    gone = members.join(stays, "root").filter("_row <> stay").select("_row")
+    return without(df, key, cut(gone), "_row").select(*[F.col(f"`{c}`") for c in names])
