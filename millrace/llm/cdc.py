@@ -98,7 +98,7 @@ def removed_runs(spans: list[tuple[int, int]], min_run: int) -> list[tuple[int,
     return [(a, b) for a, b in runs if b - a >= min_run]
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 96, least: int = 24, bits: int = 5, most: int = 512) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 64, least: int = 24, bits: int = 5, most: int = 512) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans, spans (array of start and end), kept (binary)."""
     spark = df.sparkSession
     small_batches(spark)
