@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bucket, cut
 
 TITLES_M = "Mr|Sr|Mister|Herr|Monsieur|Señor|Signor"
 TITLES_F = "Mrs|Ms|Mme|Mlle|Sra|Srta|Miss|Frau|Madame|Señora|Señorita|Signora"
@@ -37,8 +37,11 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{SHORT}|{LONG}|{TITLES_CYRILLIC}) {WORD}(?: {WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without any of this hold no entity; far cheaper to look for.
-HINT = rf"[0-9]{{3}}|[0-9]\.[0-9]|@|[0-9a-fA-F]{{32}}|(?:{SHORT}|{LONG}|{TITLES_CYRILLIC}) \p{{Lu}}"
+#: Texts without any of this hold no entity; far cheaper to look for, as titles are taken by their first letter.
+HINT = (
+    r"[0-9@]|[0-9a-fA-F]{32}|M(?:rs?|s|me|lle|ister|iss|onsieur|adame)\.? \p{Lu}|S(?:ra?|rta)\.? \p{Lu}|Se(?:ñor|ñora|ñorita) \p{Lu}|Signora? \p{Lu}"
+    r"|(?:Dr|Prof)\.? \p{Lu}|(?:Herr|Frau) \p{Lu}|[Гг](?:-н|-жа|осподин|оспожа) \p{Lu}"
+)
 #: Given names by the gender that a title shows.
 GIVEN = {
     "m": ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Oscar", "Paul", "Simon"],
@@ -177,21 +180,24 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
     raise ValueError("a type of entity has too few replacements")
 
 
-def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "millrace") -> DataFrame:
+def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "millrace", bits: int = 18) -> DataFrame:
     """One row per input row: ``id_col``, text with all entities replaced, n_entities, kinds (array, in order)."""
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    maybe = F.coalesce(F.col("_text").rlike(HINT), F.lit(False))
-    matched = rows.filter(maybe).withColumns({"_doc": F.xxhash64("_text"), "_found": F.regexp_extract_all("_text", F.lit(ANY), 0)})
-    with_any, without = matched.filter(F.size("_found") > 0), matched.filter(F.size("_found") == 0)
-    places = with_any.select("_id", "_doc", F.posexplode("_found").alias("at", "entity"))
-    places = places.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("kind"), F.col("entity")))
-    places = cut(places)
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_doc", F.xxhash64("_text"))
+    places = rows.filter(F.col("_text").rlike(HINT)).select("_id", "_doc", F.posexplode(F.regexp_extract_all("_text", F.lit(ANY), 0)).alias("at", "entity"))
+    places = places.withColumn("kind", kind_of(F.col("entity")))
+    places = cut(places.withColumn("canon", canonical(F.col("kind"), F.col("entity"))))
     new = places.join(dictionary(places, key), ["kind", "canon"]).select("_id", "_doc", "at", "kind", pour(F.col("kind"), F.col("entity"), F.col("core")).alias("new"))
-    per_text = new.groupBy("_id", "_doc").agg(F.sort_array(F.collect_set(F.struct("at", "kind", "new"))).alias("news"))
-    left, right = with_any.alias("l"), per_text.alias("r")
+    per_text = cut(new.groupBy("_id", "_doc").agg(F.sort_array(F.collect_set(F.struct("at", "kind", "new"))).alias("news")))
+
+    # only texts in a bucket with some text that has entities are shuffled; the set of buckets has a fixed bound
+    buckets = per_text.select(bucket(bits, F.col("_doc")).alias("_bucket")).distinct().withColumn("_near", F.lit(True))
+    marked = rows.withColumn("_bucket", bucket(bits, F.col("_doc"))).join(F.broadcast(buckets), "_bucket", "left")
+    left, right = marked.filter("_near").alias("l"), per_text.alias("r")
     joined = left.join(right, F.col("l._id").eqNullSafe(F.col("r._id")) & (F.col("l._doc") == F.col("r._doc")), "left").select("l._id", "l._text", "r.news")
     between = F.split("_text", ANY, -1)
-    text = F.array_join(F.flatten(F.zip_with(between, F.col("news.new"), lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
-    out = [F.col("_id").alias(id_col), text.alias("text"), F.size("news").cast("long").alias("n_entities"), F.col("news.kind").alias("kinds")]
+    replaced = F.array_join(F.flatten(F.zip_with(between, F.col("news.new"), lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+    text = F.when(F.col("news").isNull(), F.col("_text")).otherwise(replaced)
+    kinds = F.coalesce(F.col("news.kind"), F.array().cast("array<string>"))
+    out = joined.select(F.col("_id").alias(id_col), text.alias("text"), F.size(kinds).cast("long").alias("n_entities"), kinds.alias("kinds"))
     none = [F.col("_id").alias(id_col), F.col("_text").alias("text"), F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds")]
-    return joined.select(*out).unionByName(rows.filter(~maybe).select(*none)).unionByName(without.select(*none))
+    return out.unionByName(marked.filter("_near IS NULL").select(*none))
