@@ -1,108 +1,71 @@
-"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many strings.
+"""Column-wise construction of a Burrows-Wheeler transform and common prefixes for many aligned strings.
 
-Round j inserts one symbol of every string that has one left, from its end on: the suffix of length j of each string
-gets its place among all suffixes so far by counting symbols before the place of its previous suffix, and the
-transform, the common-prefix lengths and the suffix names are written anew by one sequential pass that merges the
-insertions. The number of rounds is the length of the longest string, the work of a round is one pass over what is
-there; so strings are kept short and collections bounded by the caller.
+Strings stand in a table, one column for each position from a common mark; each round inserts one symbol of every
+string, from the last column to the first. The order of the suffixes that start in a column follows from the
+order in the next one by one stable pass that deals them out by their new first symbol, and the common prefixes of
+neighbours by the least value between their old places plus one. The symbols that stand before the suffixes, in their
+order, are that column of the transform; only the column at hand is kept, so a round costs one pass over the strings,
+whatever their length. Suffixes are ordered within their group, and only those of one column are compared: that is all
+that is needed where equal substrings are known to stand at equal distance from the mark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 MOST = 255  #: common prefixes are counted up to here
 
 
-def column_bwt(strings: list[bytes], named_from: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(transform, lcp, string, start) in the order of the suffixes of ``strings``, the empty ones included.
-
-    transform: the symbol before each suffix plus one, 0 where a whole string begins. lcp[i]: the length that suffixes
-    i - 1 and i share, at most MOST. string, start: whose suffix it is and where it starts; -1 for suffixes shorter than
-    ``named_from``. Equal suffixes stand in the order of their strings.
-    """
-    m = len(strings)
-    sizes = np.array([len(s) for s in strings], np.int64)
-    if m == 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))  # type: ignore[return-value]
-    width = int(sizes.max())
-    table = np.zeros((width + 1, m), np.uint16)  # row j: the j-th symbol from the end, plus one
-    for i, s in enumerate(strings):
-        if s:
-            table[: len(s), i] = np.frombuffer(s, np.uint8)[::-1].astype(np.uint16) + 1
-    symbols = np.unique(table)
-    if symbols[0] != 0:
-        symbols = np.concatenate(([0], symbols))
-    if len(symbols) <= 256:
-        table = np.searchsorted(symbols, table).astype(np.uint8)
-    bwt = table[0].copy()
-    lcp = np.zeros(m, np.uint8)
-    name = np.arange(m, dtype=np.int64) * (width + 1) if named_from <= 0 else np.full(m, -1, np.int64)
-    at = np.arange(m, dtype=np.int64)
-    alive = np.flatnonzero(sizes > 0)
-    for j in range(1, width + 1):
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        ended = m - len(alive)  # zeros in the transform
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        mine = rank[at[alive]]
-        place = m + mine - ended
-        # common prefixes of the new suffixes and of those right after them
-        after = mine + 1
-        after = after[after < n]
-        changed = np.union1d(mine, after)
-        here, before = order[changed], order[np.maximum(changed - 1, 0)]
-        same = (changed > ended) & (bwt[here] == bwt[before])
-        values = np.zeros(len(changed), np.uint8)
-        if same.any():
-            lo, hi = before[same] + 1, here[same] + 1
-            lengths = hi - lo
-            ends = np.cumsum(lengths)
-            spots = np.repeat(lo - (ends - lengths), lengths) + np.arange(ends[-1])
-            least = np.minimum.reduceat(lcp[spots], ends - lengths)
-            values[same] = np.minimum(least, MOST - 1) + 1
-        # the sequential pass: what was there keeps its order around the insertions
-        old = np.ones(n + len(alive), bool)
-        old[place] = False
-        new_bwt = np.empty(len(old), bwt.dtype)
-        new_bwt[old] = bwt
-        new_bwt[place] = table[j][alive]
-        new_lcp = np.empty(len(old), np.uint8)
-        new_lcp[old] = lcp
-        new_lcp[m + changed - ended] = values
-        new_name = np.empty(len(old), np.int64)
-        new_name[old] = name
-        new_name[place] = alive * (width + 1) + j if j >= named_from else -1
-        bwt, lcp, name = new_bwt, new_lcp, new_name
-        at[alive] = place
-        alive = alive[sizes[alive] > j]
-    string = np.where(name >= 0, name // (width + 1), -1)
-    start = np.where(name >= 0, sizes[string] - name % (width + 1), -1)
-    return symbols[bwt] if len(symbols) <= 256 else bwt, lcp, string, start
+def aligned(strings: list[bytes], skip: list[int], columns: int) -> np.ndarray:
+    """(columns + 1, strings) table of symbols plus one; string i begins in column skip[i]; 0: no symbol there."""
+    table = np.zeros((len(strings), columns + 1), np.int16)
+    for i, (s, k) in enumerate(zip(strings, skip)):
+        table[i, k : k + len(s)] = np.frombuffer(s, np.uint8)
+        table[i, k : k + len(s)] += 1
+    return np.ascontiguousarray(table.T)
 
 
-def shared_windows(strings: list[bytes], where: list[tuple[int, int]], weight: list[int], width: int) -> list[np.ndarray]:
-    """For each string, the starts of its substrings of ``width`` (at most MOST) that occur at another place too.
+def column_order(table: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(column, order, lcp, transform) for each column from the last to the first.
 
-    where: (text, offset) of each string, so that one place seen in two strings isn't counted twice; a weight over 1
-    means that the whole string occurs elsewhere.
+    order: the strings by group and then by their suffix from this column on. lcp[i]: the symbols that suffixes i - 1 and
+    i share, at most MOST; 0 between groups. transform: the symbol (plus one) before each suffix, 0 if there is none.
     """
-    _, lcp, string, start = column_bwt(strings, named_from=width)
-    named = np.flatnonzero(string >= 0)
-    if not len(named):
-        return [np.zeros(0, np.int64) for _ in strings]
-    run = np.cumsum(lcp < width)[named]  # suffixes that share their first ``width`` symbols
-    string, start = string[named], start[named]
-    text = np.unique([t for t, _ in where], return_inverse=True)[1].astype(np.int64)
-    place = (text[string] << 40) + np.array([o for _, o in where], np.int64)[string] + start
-    heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    lowest, highest = np.minimum.reduceat(place, heads), np.maximum.reduceat(place, heads)
-    heavy = np.maximum.reduceat(np.array(weight, np.int64)[string], heads)
-    again = (lowest != highest) | (heavy > 1)
-    hit = np.repeat(again, np.diff(np.concatenate((heads, [len(run)]))))
-    string, start = string[hit], start[hit]
-    order = np.lexsort((start, string))
-    string, start = string[order], start[order]
-    edges = np.searchsorted(string, np.arange(len(strings) + 1))
-    return [start[a:b] for a, b in zip(edges, edges[1:])]
+    m = table.shape[1]
+    order = np.argsort(group, kind="stable")
+    lcp = np.zeros(m, np.int16)
+    base = np.unique(group, return_inverse=True)[1].astype(np.int64) * 512
+    for column in range(table.shape[0] - 1, -1, -1):
+        symbol = table[column][order]
+        key = base[order] + symbol
+        perm = np.argsort(key, kind="stable")
+        key = key[perm]
+        new = np.zeros(m, np.int16)
+        same = np.flatnonzero((key[1:] == key[:-1]) & (symbol[perm[1:]] > 0)) + 1
+        if len(same):
+            low, high = perm[same - 1] + 1, perm[same]
+            new[same] = lcp[high]
+            wide = np.flatnonzero(high > low)
+            if len(wide):
+                low, high = low[wide], high[wide]
+                size = high - low + 1
+                ends = np.cumsum(size)
+                spots = np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
+                new[same[wide]] = np.minimum.reduceat(lcp[spots], ends - size)
+            new[same] = np.minimum(new[same] + 1, MOST)
+        order, lcp = order[perm], new
+        yield column, order, lcp, table[column - 1][order] if column else np.zeros(m, table.dtype)
+
+
+def shared_windows(strings: list[bytes], skip: list[int], group: list[int], width: int, starts: int) -> list[np.ndarray]:
+    """For each string, the columns below ``starts`` where ``width`` symbols begin that another of its group has there."""
+    table = aligned(strings, skip, starts + width)
+    hit = np.zeros((starts, len(strings)), bool)
+    for column, order, lcp, _ in column_order(table, np.array(group, np.int64)):
+        if column < starts:
+            at = np.flatnonzero(lcp >= width)
+            hit[column, order[at]] = True
+            hit[column, order[at - 1]] = True
+    return [np.flatnonzero(hit[:, i]) for i in range(len(strings))]

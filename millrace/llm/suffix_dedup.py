@@ -9,7 +9,8 @@ each a pass over everything. The order is therefore built only where strings can
 2. Contexts. All stretches that hold an anchor lie within a fixed distance of it. Anchors whose contexts are all equal
    need nothing more, and equal contexts are one string with a weight.
 3. Suffix order. The distinct contexts of an anchor, at most ``group_limit``, go to one task, which builds the
-   Burrows-Wheeler transform and the common prefixes column by column (``bwt``) and reads repeats off them.
+   Burrows-Wheeler transform and the common prefixes column by column (``bwt``), one symbol of each context a round, and
+   reads repeats off them. Equal stretches have equal distance from their anchor, so contexts are aligned there.
 4. Anchors with more distinct contexts (a passage in a large part of all documents) are too much for one task. There
    ranges of stretches are narrowed by counting: a range whose whole span occurs again is covered, one whose common
    part occurs only once is not, any other is cut in four. Each level is a distributed count, and exact.
@@ -35,7 +36,7 @@ from .cdc import gear
 from .common import bucket, map_arrow, shared_dir, small_batches, sorted_groups, text_of
 
 GRAM = 32
-BATCH = 1500  #: contexts whose suffix order is built together
+BATCH = 4000  #: contexts whose suffix order is built together
 
 
 def anchors(data: bytes, width: int) -> np.ndarray:
@@ -128,28 +129,36 @@ def _contexts(texts: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _ordered(contexts: DataFrame, width: int) -> DataFrame:
     """(t1, t2, s, e): spans that repeats cover, by the suffix order of the contexts of each anchor."""
-    work = contexts.filter("NOT many").drop("many").repartition("h").sortWithinPartitions("h", "t1", "t2", "s")
-
-    def solve(held: list[dict]) -> pa.RecordBatch:
-        where = [((x["t1"], x["t2"]), x["s"]) for x in held]
-        number: dict[tuple, int] = {}
-        places = [(number.setdefault(t, len(number)), s) for t, s in where]
-        found = shared_windows([x["context"] for x in held], places, [x["weight"] for x in held], width)
-        out = []
-        for (t, s), starts in zip(where, found):
-            if len(starts):
-                cut = np.flatnonzero(np.diff(starts) > width) + 1
-                out += [(*t, s + int(part[0]), s + int(part[-1]) + width) for part in np.split(starts, cut)]
-        cols = list(zip(*out)) or [()] * 4
-        return pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=["t1", "t2", "s", "e"])
+    work = contexts.filter("NOT many").drop("many").repartition("h").sortWithinPartitions("h", "t1", "t2", "s", "skip")
+    starts = width - GRAM + 1
+
+    def solve(held: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(held).combine_chunks()
+        h, t1, t2, s, skip = (rows.column(c).to_numpy() for c in ("h", "t1", "t2", "s", "skip"))
+        # a text that stands in two tasks' rows may come twice; one place is one string
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (s[1:] != s[:-1]) | (skip[1:] != skip[:-1])
+        keep = np.flatnonzero(fresh)
+        strings = rows.column("context").take(pa.array(keep)).to_pylist()
+        out: list[list] = [[], [], [], []]
+        for i, found in zip(keep.tolist(), shared_windows(strings, skip[keep].tolist(), h[keep].tolist(), width, starts)):
+            if len(found):
+                begin = found + (s[i] - skip[i])
+                cut = np.flatnonzero(np.diff(begin) > width) + 1
+                for part in np.split(begin, cut):
+                    for column, x in zip(out, (t1[i], t2[i], part[0], part[-1] + width)):
+                        column.append(x)
+        return pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["t1", "t2", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.Table] = []
+        size = 0
         for group in sorted_groups(batches, ["h"]):
-            if held and len(held) + group.num_rows > BATCH:
+            if held and size + group.num_rows > BATCH:
                 yield solve(held)
-                held = []
-            held += group.to_pylist()
+                held, size = [], 0
+            held.append(group)
+            size += group.num_rows
         if held:
             yield solve(held)
 
@@ -184,25 +193,24 @@ def _narrowed(contexts: DataFrame, width: int) -> DataFrame:
         kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 4
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    def twice(level: DataFrame, key: str) -> DataFrame:
-        place = F.xxhash64("t1", "t2", F.col("s") + F.col("a") - F.col("skip"))
-        counted = level.filter(F.col(key).isNotNull()).groupBy(key, "size").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-        return counted.filter("lo < hi").select(key, "size")
-
     open_ = contexts.filter("many").select("t1", "t2", "s", "skip", "context", F.lit(0).cast("long").alias("a"), F.lit(width - GRAM).cast("long").alias("b"))
     covered = None
     while covered is None or not open_.isEmpty():
-        level = _stored(map_arrow(open_, ranges, schema).withColumn("size", F.col("b") - F.col("a")), "ranges")
-        done = level.join(twice(level, "whole").withColumn("is", F.lit(True)), ["whole", "size"], "left")
         begin = F.col("s") + F.col("a") - F.col("skip")
-        spans = done.filter("is").select("t1", "t2", begin.alias("s"), (begin + F.col("size") + width).alias("e"))
+        level = _stored(map_arrow(open_, ranges, schema).withColumns({"size": F.col("b") - F.col("a"), "place": F.xxhash64("t1", "t2", begin)}), "ranges")
+        ends = (F.min("place").alias("lo"), F.max("place").alias("hi"))
+        twice = level.filter("whole IS NOT NULL").groupBy("whole", "size").agg(*ends).filter("lo < hi").drop("hi")
+        done = level.join(twice, ["whole", "size"], "left")
+        spans = done.filter("lo IS NOT NULL").select("t1", "t2", begin.alias("s"), (begin + F.col("size") + width).alias("e"))
         covered = spans if covered is None else covered.unionByName(spans)
-        rest = done.filter("is IS NULL AND size > 0").join(twice(level, "part"), ["part", "size"], "left_semi")
-        open_ = _stored(rest.select("t1", "t2", "s", "skip", "context", "a", "b"), "open")
+        # of equal covered ranges one goes on, as a partner for those that aren't covered yet
+        rest = done.filter("size > 0 AND (lo IS NULL OR place = lo)").withColumn("waits", F.col("lo").isNull()).drop("lo")
+        shared = rest.groupBy("part", "size").agg(*ends, F.bool_or("waits").alias("any")).filter("lo < hi AND any").select("part", "size")
+        open_ = _stored(rest.join(shared, ["part", "size"], "left_semi").select("t1", "t2", "s", "skip", "context", "a", "b"), "open")
     return covered.distinct()
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, group_limit: int = 4096) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, group_limit: int = 50_000) -> DataFrame:
     """(t1, t2, spans): for each text with repeats, the (s, e) byte spans that they cover; spans may overlap."""
     small_batches(df.sparkSession)
     texts = _named(df, id_col, text_col)
@@ -236,12 +244,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, group_limit: int = 4096) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, group_limit: int = 50_000) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     return _result(df, id_col, text_col, width, group_limit, False)
 
 
-def suffix_dedup_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, group_limit: int = 4096) -> DataFrame:
+def suffix_dedup_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, group_limit: int = 50_000) -> DataFrame:
     """As ``suffix_dedup``, with kept_sha256 in place of kept."""
     return _result(df, id_col, text_col, width, group_limit, True)
 
