@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled texts of each class (distinct texts, least hashes first), keeps the words
-whose presence goes with the label (chi-square), and stores the sample's TF-IDF vectors over them in an inverted
+whose presence goes with the label (squared correlation), and stores the sample's TF-IDF vectors over them in an inverted
 index whose postings are in blocks with the largest weight of each block. A query sums these to bounds, reads
 blocks from the highest bound down, and stops when no block left can enter the k nearest; so the nearest are exact.
 The neighbours vote with their cosine as weight and each class weighed back to its share of all labelled rows; votes are
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, text_of
+from .common import cut, map_arrow, small_batches, text_of
 
 WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 32
 LEAST_DF = 5
-LEAST_CHI2 = 25.0
+LEAST_PHI2, LEAST_CHI2 = 0.004, 25.0  #: of a word's presence and the label: squared correlation, alike at every sample size, and significance
 
 
 @dataclass
@@ -146,14 +146,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most 2 * per_class ids, so the broadcast has a bound
     texts = text_of(docs, id_col, text_col).join(F.broadcast(chosen), "_id")
     texts = texts.groupBy(F.sha2("_text", 256).alias("sha")).agg(F.min("_id").alias("_id"), F.max("_y").alias("_y"), F.first("_text").alias("_text")).drop("sha")
+    texts = cut(texts)  # the sample, read four times below
     words = texts.select("_id", "_y", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), 0)).alias("word")).groupBy("_id", "_y", "word").agg(F.count("*").alias("tf"))
     sizes = {r["_y"]: r["n"] for r in texts.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     pos, neg = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     counts = words.groupBy("word").agg(F.sum("_y").alias("a"), F.sum(1 - F.col("_y")).alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     n, have = F.lit(pos + neg), a + b
-    chi2 = n * F.pow(a * (F.lit(neg) - b) - b * (F.lit(pos) - a), 2) / (have * (n - have) * F.lit(max(pos * neg, 1.0)))
-    ranked = counts.filter(f"a + b >= {LEAST_DF}").filter(have < n).withColumn("chi2", chi2).filter(f"chi2 >= {LEAST_CHI2}").orderBy(F.desc("chi2"), "word").limit(terms)
+    phi2 = F.pow(a * (F.lit(neg) - b) - b * (F.lit(pos) - a), 2) / (have * (n - have) * F.lit(max(pos * neg, 1.0)))
+    ranked = counts.filter(f"a + b >= {LEAST_DF}").filter(have < n).withColumn("phi2", phi2).filter(F.col("phi2") >= max(LEAST_PHI2, LEAST_CHI2 / (pos + neg))).orderBy(F.desc("phi2"), "word").limit(terms)
     kept = ranked.collect()
     if not kept:
         return empty
