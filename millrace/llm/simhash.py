@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, cut, map_arrow, small_batches, sorted_groups, text_of, without
@@ -107,8 +107,8 @@ class BKTree:
                     stack.append((child, on))
 
 
-def _forest(tree_values: list[int], queries: list[int], radii: tuple[int, ...]) -> tuple[list[int], list[int]]:
-    """Links that span what the tree's values and the queries make connected, with nearer links first by ``radii``."""
+def _forest(tree_values: list[int], queries: list[int], radius: int) -> tuple[list[int], list[int]]:
+    """Links that span what the tree's values and the queries make connected."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -119,16 +119,15 @@ def _forest(tree_values: list[int], queries: list[int], radii: tuple[int, ...])
 
     a, b = [], []
     tree = BKTree(tree_values)
-    for radius in radii:
-        if len(tree_values) * len(queries) > 10_000:
-            found = ((q, tree_values[i]) for i, near in tree.matches(np.array(queries, np.uint64), radius) for q in near.tolist())
-        else:
-            found = ((q, tree_values[i]) for q in queries for i in tree.within(q, radius))
-        for q, v in found:
-            if v != q and (x := root(q)) != (y := root(v)):
-                parent[max(x, y)] = min(x, y)
-                a.append(q)
-                b.append(v)
+    if len(tree_values) * len(queries) > 10_000:
+        found = ((q, tree_values[i]) for i, near in tree.matches(np.array(queries, np.uint64), radius) for q in near.tolist())
+    else:
+        found = ((q, tree_values[i]) for q in queries for i in tree.within(q, radius))
+    for q, v in found:
+        if v != q and (x := root(q)) != (y := root(v)):
+            parent[max(x, y)] = min(x, y)
+            a.append(q)
+            b.append(v)
     return a, b
 
 
@@ -138,15 +137,16 @@ def blocks_of(radius: int) -> list[tuple[int, int]]:
     return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
 
 
-def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096, nearer: tuple[int, ...] = ()) -> DataFrame:
-    """(a, b) longs: links that span all pairs of distinct ``fps.fp`` at most ``radius`` bits apart.
+def _shards(radius: int) -> Column:
+    """The shards of ``fp``: 64 times the value of a block, and the block's number."""
+    return F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) * F.lit(64) + F.lit(i) for i, (s, w) in enumerate(blocks_of(radius))])
 
-    ``nearer``: smaller radii whose links are taken first, so that the links span the pairs within those too.
-    """
+
+def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096) -> DataFrame:
+    """(a, b) longs: links that span all pairs of distinct ``fps.fp`` at most ``radius`` bits apart."""
     small_batches(fps.sparkSession)
     distinct = cut(fps.select("fp").distinct())
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for i, (s, w) in enumerate(blocks_of(radius))])
-    sharded = distinct.select("fp", F.explode(keys).alias("s")).select("fp", (F.col("s.v") * F.lit(64) + F.col("s.k")).alias("shard"))
+    sharded = distinct.select("fp", F.explode(_shards(radius)).alias("shard"))
     trees = sharded.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard", F.ceil(F.col("n") / F.lit(tree_size)).cast("int").alias("trees"))
     placed = sharded.join(trees, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
     # a query meets every tree of its shard of its own number or above; pairs below are met from the other side
@@ -161,7 +161,7 @@ def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096, nearer: t
         for group in sorted_groups(batches, ["shard", "own", "tree"]):
             is_query = group.column("query").to_numpy() == 1
             values = group.column("fp").to_numpy().view(np.uint64)
-            x, y = _forest(values[~is_query].tolist(), values[is_query].tolist(), (*nearer, radius))
+            x, y = _forest(values[~is_query].tolist(), values[is_query].tolist(), radius)
             a += x
             b += y
             if len(a) > 50_000:
@@ -201,12 +201,87 @@ def similarity(a: str, b: str, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def _held(fps: np.ndarray, sets: list[np.ndarray], split: int, block: int, radius: int, least: float) -> tuple[list[int], list[int]]:
+    """Places of the ends of links that hold, and that span all pairs of the group that hold.
+
+    Pairs are of one of the first ``split`` and one of the rest, or of any two if ``split`` is 0; within ``radius`` bits,
+    with ``block`` the first block they agree in, as they meet in the shards of later ones too. A pair goes
+    unchecked only if links that hold join its ends.
+    """
+    m = len(fps)
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    starts = np.cumsum(sizes) - sizes
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    flags = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    earlier = [np.uint64(((1 << w) - 1) << s) for s, w in blocks_of(radius)[:block]]
+    label = np.arange(m)
+    a, b = [], []
+    for i in range(split, m):
+        end = split or i
+        near = np.flatnonzero((np.bitwise_count(fps[:end] ^ fps[i]) <= radius) & (label[:end] != label[i]))
+        for mask in earlier:
+            near = near[(fps[near] ^ fps[i]) & mask != 0]
+        own = number[starts[i] : starts[i] + sizes[i]]
+        flags[own] = True
+        for at in range(0, len(near), 256):
+            some = near[at : at + 256]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            n = sizes[some]
+            ends = np.cumsum(n)
+            cells = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - n), n)
+            sums = np.concatenate(([0], np.cumsum(flags[number[cells]])))
+            common = sums[ends] - sums[ends - n]
+            for j in some[common >= least * (n + sizes[i] - common)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(i)
+                    b.append(j)
+        flags[own] = False
+    return a, b
+
+
+def held_links(sets: DataFrame, radius: int, least: float, tree_size: int = 1024, tree_bytes: int = 32 << 20) -> DataFrame:
+    """(a, b): links that span all pairs of nodes within ``radius`` bits that share ``least`` of their shingles.
+
+    ``sets``: (node, fp, hashes), a row for each node; hashes is binary, the distinct shingle hashes. Links are checked before
+    they are thinned, so those of pairs that fail hide no others.
+    """
+    small_batches(sets.sparkSession)
+    sharded = sets.select("node", "fp", "hashes", F.explode(_shards(radius)).alias("shard"))
+    trees = sharded.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes")).filter("n > 1")
+    trees = trees.select("shard", F.ceil(F.greatest(F.col("n") / F.lit(tree_size), F.col("bytes") / F.lit(tree_bytes))).cast("int").alias("trees"))
+    placed = sharded.join(F.broadcast(trees), "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest("trees", F.lit(1))).cast("int"))
+    # the pairs of parts own <= tree; a node is in those with its part at either end
+    other = F.explode(F.sequence(F.lit(0), F.greatest("trees", F.lit(1)) - 1)).alias("other")
+    work = placed.select("shard", "part", "node", "fp", "hashes", other)
+    work = work.select("shard", F.least("part", "other").alias("own"), F.greatest("part", "other").alias("tree"), "part", "node", "fp", "hashes")
+    work = work.repartition("shard", "own", "tree").sortWithinPartitions("shard", "own", "tree", "part", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["shard", "own", "tree"]):
+            if group.num_rows < 2:
+                continue
+            shard, own, tree = (group.column(k)[0].as_py() for k in range(3))
+            split = 0 if own == tree else int((group.column("part").to_numpy() == own).sum())
+            if split == group.num_rows or own != tree and not split:
+                continue
+            hashes = [np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()]
+            a, b = _held(group.column("fp").to_numpy().view(np.uint64), hashes, split, shard % 64, radius, least)
+            if a:
+                nodes = group.column("node").to_numpy()
+                yield pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+
+    return work.mapInArrow(run, "a long, b long")
+
+
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` that stay, all columns: of each group of near copies, the one with the least id (nulls first).
 
-    Links between fingerprints at most ``radius`` bits apart, nearer ones first, are candidates; at most one for each
-    fingerprint and shard. A link holds if the two texts share ``least`` of their distinct shingles; groups are
-    the components of the links that hold. Rows with one fingerprint are linked to the first of them.
+    Two rows are linked if their fingerprints are at most ``radius`` bits apart and their texts share ``least`` of their
+    distinct shingles; groups are the components of all such links. Rows with one fingerprint and one set of shingles are
+    one node. Only nodes with another within ``radius`` bits take part in the checks, with their shingle hashes.
     Rows that repeat id and text stay or go together.
     """
     small_batches(df.sparkSession)
@@ -216,35 +291,31 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = dict(texts.dtypes)["_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["_id", "_row", "fp"])
-
-    rows = cut(map_arrow(texts, run, f"_id {kinds}, _row long, fp long"))
-    first = rows.groupBy("fp").agg(F.min(F.struct("_id", "_row")).alias("f")).select("fp", F.col("f._row").alias("first"))
-    same = rows.join(first, "fp").filter("_row <> first").select(F.col("_row").alias("a"), F.col("first").alias("b"))
-    links = near_links(rows, radius, nearer=(2, 4)).distinct()
-    ends = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("rb")), "b")
-    pairs = cut(same.unionByName(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).distinct())
+        fps, nodes = [], []
+        for t in batch.column(1).to_pylist():
+            hashes = shingle_hashes(t, width)
+            fps.append(fingerprint(hashes))
+            nodes.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), fps[-1]))
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
+        return pa.record_batch([batch.column(0), batch.column(2), *longs], names=["_id", "_row", "fp", "node"])
+
+    rows = cut(map_arrow(texts, run, f"_id {kinds}, _row long, fp long, node long"))
+    links = cut(near_links(rows, radius))
+    several = rows.groupBy("fp").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("fp")
+    near = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).unionByName(several).distinct()
+    wanted = cut(rows.join(near, "fp").groupBy("node", "fp").agg(F.min("_row").alias("_row")))
 
-    wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
     keys = wanted.select(bucket(18, F.col("_row")).alias("_bucket")).distinct()
     some = texts.select("_row", "_text", bucket(18, F.col("_row")).alias("_bucket")).join(F.broadcast(keys), "_bucket", "left_semi")
-    needed = some.join(wanted, "_row", "left_semi").dropDuplicates(["_row"]).select("_row", "_text")
-    both = pairs.join(needed.select(F.col("_row").alias("a"), F.col("_text").alias("x")), "a").join(needed.select(F.col("_row").alias("b"), F.col("_text").alias("y")), "b")
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        last, shingles, holds = None, set(), []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if y != last:
-                last, shingles = y, set(shingle_hashes(y, width).tolist())
-            own = set(shingle_hashes(x, width).tolist())
-            common = len(own & shingles)
-            holds.append(common >= least * (len(own) + len(shingles) - common))
-        mask = pa.array(holds, pa.bool_())
-        return pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    held = components(map_arrow(both.select("a", "b", "x", "y"), judge, "a long, b long"))
-    members = rows.select("_id", "_row").distinct().join(held.withColumnRenamed("vertex", "_row"), "_row")
-    stays = members.groupBy("root").agg(F.min(F.struct("_id", "_row")).alias("f")).select("root", F.col("f._row").alias("stay"))
-    gone = members.join(stays, "root").filter("_row <> stay").select("_row")
+    needed = some.join(wanted, "_row").select("node", "fp", "_text")
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [np.unique(shingle_hashes(t, width)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(hashes, pa.binary())], names=["node", "fp", "hashes"])
+
+    sets = cut(map_arrow(needed, shingles, "node long, fp long, hashes binary").dropDuplicates(["node"]))
+    held = components(held_links(sets, radius, least))
+    named = rows.join(held.withColumnRenamed("vertex", "node"), "node", "left").select("_id", "_row", F.coalesce("root", "node").alias("root"))
+    stays = named.groupBy("root").agg(F.min(F.struct("_id", "_row")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("f._row").alias("stay"))
+    gone = named.join(stays, "root").filter("_row <> stay").select("_row")
     return without(df, key, cut(gone), "_row").select(*[F.col(f"`{c}`") for c in names])

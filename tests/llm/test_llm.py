@@ -139,6 +139,50 @@ def test_near_copies_go_and_clean_ones_stay(spark):
     assert simhash.drop_near_copies(frame(spark, [])).count() == 0
 
 
+def brute_near_copies(rows, width, radius, least):
+    """Ids that stay: every pair within ``radius`` bits is checked."""
+    fps = np.array([brute_fingerprint(t, width) for _, t in rows], np.uint64)
+    sets = [set(simhash.shingle_hashes(text(t), width).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius).tolist():
+            n = len(sets[i] & sets[j])
+            if label[i] != label[j] and n >= least * (len(sets[i]) + len(sets[j]) - n):
+                x, y = label[i], label[j]
+                label = [y if k == x else k for k in label]
+    return {min(i for (i, _), k in zip(rows, label) if k == g) for g in set(label)}
+
+
+def family(seed, n, size, most):
+    """Copies of one text, each with up to ``most`` words changed: pairs on either side of 0.8."""
+    r, base, out = random.Random(seed), words(seed, size).split(), []
+    for _ in range(n):
+        w = base[:]
+        for at in r.sample(range(size), r.randrange(1, most + 1)):
+            w[at] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("tree_size", [1024, 100])
+def test_near_copies_of_a_large_family(spark, tree_size, monkeypatch):
+    monkeypatch.setattr(simhash.held_links, "__defaults__", (tree_size, 32 << 20))
+    rows = list(enumerate(family(21, 1100, 90, 6) + family(22, 100, 400, 16) + [words(500 + k, 60) for k in range(40)] + ["", " ", "one two", "One  two"]))
+    random.Random(3).shuffle(rows)
+    kept = [r["doc_id"] for r in simhash.drop_near_copies(frame(spark, rows)).collect()]
+    want = brute_near_copies(rows, 5, 7, 0.8)
+    assert len(want) > 60 and len(kept) == len(set(kept)) and set(kept) == want
+
+
+def test_equal_fingerprints_are_all_compared():
+    a, b = words(31, 80), words(32, 80)
+    rows = [(1, words(30, 80)), (2, a), (3, a + " end"), (4, b), (5, b + " end"), (6, words(33, 80))]
+    fps, ids = np.full(6, 5, np.uint64), [i for i, _ in rows]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    x, y = simhash._held(fps, sets, 0, 0, 7, 0.8)
+    assert {frozenset((ids[i], ids[j])) for i, j in zip(x, y)} == {frozenset((2, 3)), frozenset((4, 5))}
+
+
 def test_without(spark):
     df = spark.range(100)
     gone = spark.createDataFrame([(3,), (3,), (50,), (1000,)], "g long")
