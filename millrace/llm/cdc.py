@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the bytes of a text sets chunk ends where bits of the hash are zero, so an insertion moves
-only the ends next to it. Chunks are identified by a 128-bit digest. A chunk is a repeat if an earlier document (by
-id) has it, or the same document at an earlier place; a run of adjacent repeats of at least ``min_run`` bytes is
-removed. Shorter runs stay, as a few common words can coincide by chance.
+only the ends next to it. From every chunk on, as many chunks as hold ``min_run`` bytes are a window, identified by a
+128-bit digest. A window is a repeat if an earlier document (by id) has it, or the same document at an earlier place that
+it doesn't overlap; what repeats cover is removed. So all that goes is part of at least ``min_run`` bytes that stand
+elsewhere in one piece, however small the chunks: those of a few common words often coincide by chance.
 
 * Null text counts as empty: no chunks, nothing removed. Documents with a null id come first in the order.
 * Rows that share an id count as one document in the order: their chunks don't remove each other's.
@@ -38,12 +39,12 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: bytes, least: int = 24, bits: int = 5, most: int = 512) -> list[int]:
-    """Ends of the chunks of ``data``: where ``bits`` bits from bit 16 on are zero, at sizes from ``least`` to ``most``.
+def chunk_ends(data: bytes, least: int = 8, bits: int = 3, most: int = 512) -> list[int]:
+    """Ends of the chunks of ``data``: where ``bits`` bits from bit 8 on are zero, at sizes from ``least`` to ``most``.
 
-    These bits depend on some twenty bytes only, so that short passages fall into step soon.
+    These bits depend on some ten bytes only, so that short passages fall into step soon.
     """
-    mask = np.uint32(((1 << bits) - 1) << 16)
+    mask = np.uint32(((1 << bits) - 1) << 8)
     marks = np.flatnonzero((gear(np.frombuffer(data, np.uint8)) & mask) == 0) + 1
     ends, start = [], 0
     for end in [*marks.tolist(), len(data)]:
@@ -56,29 +57,41 @@ def chunk_ends(data: bytes, least: int = 24, bits: int = 5, most: int = 512) ->
     return ends
 
 
+def windows(ends: list[int], min_run: int) -> list[tuple[int, int]]:
+    """(start, end) from each chunk's start to the first chunk end ``min_run`` bytes on, and of the last such up to the end."""
+    starts, out, j = [0, *ends], [], 0
+    for start in starts:
+        while j < len(ends) and ends[j] - start < min_run:
+            j += 1
+        if j == len(ends):
+            break
+        out.append((start, ends[j]))
+    if out and out[-1][1] < ends[-1]:
+        out.append((out[-1][0], ends[-1]))
+    return out
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """With id, the place in the order, and doc, a hash that tells texts with one id apart."""
     return text_of(df, id_col, text_col).withColumns({"id": F.coalesce(F.col("_id").cast("long"), F.lit(FIRST)), "doc": F.xxhash64("_text")})
 
 
-def chunk_table(df: DataFrame, id_col: str, text_col: str, **sizes: int) -> DataFrame:
-    """(id, doc, at, n, d1, d2, again): a row for each chunk; again: an earlier chunk of the document equals it."""
+def window_table(df: DataFrame, id_col: str, text_col: str, min_run: int, **sizes: int) -> DataFrame:
+    """(id, doc, at, n, d1, d2, again): a row for each window; again: one that ends before it in the document equals it."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, docs, at, n, again, digests = [], [], [], [], [], []
         for i, doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-            seen, start = set(), 0
-            ends = chunk_ends(data, **sizes)
-            for end in ends:
+            seen: dict[bytes, int] = {}
+            found = windows(chunk_ends(data, **sizes), min_run)
+            for start, end in found:
                 digest = hashlib.blake2b(data[start:end], digest_size=16).digest()
                 at.append(start)
                 n.append(end - start)
-                again.append(digest in seen)
-                seen.add(digest)
+                again.append(seen.setdefault(digest, end) <= start)
                 digests.append(digest)
-                start = end
-            ids += [i] * len(ends)
-            docs += [doc] * len(ends)
+            ids += [i] * len(found)
+            docs += [doc] * len(found)
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         cols = [pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(again, pa.bool_())]
         return pa.record_batch(cols, names=["id", "doc", "at", "n", "d1", "d2", "again"])
@@ -87,23 +100,23 @@ def chunk_table(df: DataFrame, id_col: str, text_col: str, **sizes: int) -> Data
     return map_arrow(rows, run, "id long, doc long, at long, n int, d1 long, d2 long, again boolean")
 
 
-def removed_runs(spans: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
-    """(start, end) of the runs of adjacent spans (at, n) that hold at least ``min_run`` bytes."""
+def removed_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs that the spans (at, n) cover."""
     runs: list[list[int]] = []
     for at, n in sorted(set(spans)):
-        if runs and runs[-1][1] == at:
-            runs[-1][1] = at + n
+        if runs and runs[-1][1] >= at:
+            runs[-1][1] = max(runs[-1][1], at + n)
         else:
             runs.append([at, at + n])
-    return [(a, b) for a, b in runs if b - a >= min_run]
+    return [(a, b) for a, b in runs]
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 64, least: int = 24, bits: int = 5, most: int = 512) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 64, least: int = 8, bits: int = 3, most: int = 512) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans, spans (array of start and end), kept (binary)."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
-    chunk_table(df, id_col, text_col, least=least, bits=bits, most=most).write.parquet(path)
+    window_table(df, id_col, text_col, min_run, least=least, bits=bits, most=most).write.parquet(path)
     chunks = spark.read.parquet(path)
     fresh = chunks.filter("NOT again")
     owners = fresh.groupBy("d1", "d2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("d1", "d2", "owner")
@@ -116,7 +129,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
         for data, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-            runs = removed_runs([(x["at"], x["n"]) for x in found or ()], min_run)
+            runs = removed_runs([(x["at"], x["n"]) for x in found or ()])
             kept, start = [], 0
             for a, b in runs:
                 kept.append(data[start:a])

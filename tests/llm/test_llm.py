@@ -297,6 +297,28 @@ def test_substring_dedup(spark):
     assert cdc.substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_passages_of_52_words_go_and_chance_repeats_stay(spark):
+    r = random.Random(17)
+    lexicon = ["".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(r.choice(lexicon) for _ in range(n))
+    rows, at = [], {}
+    for k in range(150):
+        passage = prose(52)
+        for i in (k, 1000 + k):
+            before = prose(r.randrange(30, 60)) + " "
+            at[i] = (len(before), len(before) + len(passage))
+            rows.append((i, before + passage + " " + prose(r.randrange(30, 60))))
+    halves = [prose(7)[:48] for _ in range(60)]
+    rows += [(3000 + k, h) for k, h in enumerate(halves)] + [(4000, "".join(halves))]
+    got = {x["doc_id"]: x for x in cdc.substring_dedup(frame(spark, rows)).collect()}
+    spans = {i: [(s["start"], s["end"]) for s in x["spans"]] for i, x in got.items()}
+    assert not any(spans[k] for k in range(150)) and spans[4000] == []
+    cover = [sum(min(b, at[i][1]) - max(a, at[i][0]) for a, b in spans[i]) / (at[i][1] - at[i][0]) for i in at if i >= 1000]
+    assert min(cover) > 0.3 and sum(cover) / len(cover) > 0.85
+    data = dict(rows)
+    assert all(data[i][a:b] in data[i - 1000] for i in at if i >= 1000 for a, b in spans[i])
+
+
 def distance(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
