@@ -3,31 +3,31 @@
 A page is cut into blocks (lines of text). Blocks in navigation, footers, sidebars, forms, adverts, notices, comment
 sections and the like are dropped by element or by class, id or role. Blocks within article or main are the text
 where a page has such an element. On other pages the template is found by comparison: pages are sorted by host and
-URL path, each is paired with its neighbour of nearest path, their lines are aligned by longest common subsequence,
-and shared lines go. A neighbour with the same path, or which shares at least half of a page's text, is another copy of
-the page and says nothing of the template; it is passed over for the neighbour on the other side.
+URL path, each is paired with a page of the nearest other path, their lines are aligned by longest common subsequence,
+and shared lines go. A neighbour which shares at least half of a page's text is another copy of the page and says
+nothing of the template; it is passed over for the neighbour on the other side.
 
 Lines within article and main are not deleted by comparison: in these tables articles of one host quote the same
 paragraphs, and deleting those would lose text.
 
 * Null html counts as empty; a page without main text gives an empty string. Pages without a URL are compared with none.
-* Pages are dealt out by ranges of (host, path, id), so that a host of any size is spread over tasks; a page at the
-  edge of a range is compared with the neighbour it has there.
+* All pages of one host and path have the same neighbours, found among the distinct paths. Those are dealt out by ranges,
+  so that a host of any size is spread over tasks; html isn't shuffled, and only lines of the pages to compare are.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import uuid
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, map_arrow, shared_dir, small_batches
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -180,6 +180,32 @@ def _common(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def _nearest(parsed: DataFrame) -> DataFrame:
+    """(host, path, before, first, after, last): the nearest other paths of the host, and keys of the pages that stand for them.
+
+    The page with the largest id stands for the path before, that with the least for the path after. Paths are
+    dealt by ranges, and the ends of ranges meet those of the next ones, so it doesn't matter where ranges end.
+    """
+    spark = parsed.sparkSession
+    page = F.struct("id", "h", "key")
+    paths = parsed.filter("host IS NOT NULL").groupBy("host", "path").agg(F.min(page).alias("lo"), F.max(page).alias("hi"))
+    paths = paths.select("host", "path", F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = cut(paths.repartitionByRange(n, "host", "path").withColumn("range", F.spark_partition_id()))
+    ends = paths.groupBy("range").agg(F.min(F.struct("host", "path", "lo")).alias("a"), F.max(F.struct("host", "path", "hi")).alias("b")).orderBy("range").collect()
+    edges = [(x["range"], *(ends[k - 1]["b"] if k else (None,) * 3), *(ends[k + 1]["a"] if k + 1 < len(ends) else (None,) * 3)) for k, x in enumerate(ends)]
+    edges = spark.createDataFrame(edges, "range int, bh string, bp string, bk long, ah string, ap string, ak long")
+    w = Window.partitionBy("range").orderBy("host", "path")
+    near = paths.withColumns({k: f(c).over(w) for k, f, c in (("h1", F.lag, "host"), ("p1", F.lag, "path"), ("k1", F.lag, "hi"), ("h2", F.lead, "host"), ("p2", F.lead, "path"), ("k2", F.lead, "lo"))})
+    near = near.join(F.broadcast(edges), "range")
+    own_before, own_after = F.coalesce("h1", "bh") == F.col("host"), F.coalesce("h2", "ah") == F.col("host")
+    return near.select(
+        "host", "path",
+        F.when(own_before, F.coalesce("p1", "bp")).alias("before"), F.when(own_before, F.coalesce("k1", "bk")).alias("k1"),
+        F.when(own_after, F.coalesce("p2", "ap")).alias("after"), F.when(own_after, F.coalesce("k2", "ak")).alias("k2"),
+    )
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: ``id_col``, ``url_col``, text, n_chars (code points)."""
     spark = pages.sparkSession
@@ -187,45 +213,39 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bare = F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", F.lower(F.substring_index(bare, "/", 1))).withColumn("path", F.regexp_replace(bare, r"^[^/]*|/$|\.html?$", ""))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "host", "path", "id").sortWithinPartitions("host", "path", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # pages come in URL order; those of one path wait together until the next path is there
-        before = None  # (host, path, open lines)
-        held: list[tuple] = []
-        out: list[tuple] = []
-
-        def settle(after) -> None:
-            host, path = held[0][2], held[0][3]
-            near = [x for x in (before, after) if x is not None and host is not None and x[0] == host]
-            near.sort(key=lambda x: -_common(x[1] or "", path or ""))
-            for i, u, _, _, own in held:
-                text = main_text(own, [x[2] for x in near])
-                out.append((i, u, text, len(text)))
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            ids, urls, texts, sizes = zip(*rows)
-            return pa.record_batch([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=[id_col, url_col, "text", "n_chars"])
-
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for i, u, page, host, path in zip(*(c.to_pylist() for c in batch.columns)):
-                own = blocks(page)
-                if held and (held[0][2], held[0][3]) != (host, path) or len(held) >= 256:
-                    now = (host, path, [x for z, x in own if z == OPEN])
-                    last = (held[-1][2], held[-1][3], [x for z, x in held[-1][4] if z == OPEN])
-                    settle(now)
-                    held.clear()
-                    before = last
-                held.append((i, u, host, path, own))
-            if len(out) >= 64:
-                yield batch_of(out)
-                out.clear()
-        if held:
-            settle(None)
-        if out:
-            yield batch_of(out)
-
-    kind_of = dict(pages.dtypes)[id_col]
-    return rows.select("id", "url", "html", "host", "path").mapInArrow(run, f"`{id_col}` {kind_of}, `{url_col}` string, text string, n_chars long")
+    rows = rows.withColumn("h", F.xxhash64("html")).withColumn("key", F.xxhash64("host", "path", "id", "h"))
+    kind = dict(pages.dtypes)[id_col]
+    lines_of = pa.list_(pa.string())
+
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, open_ = [], []
+        for page in batch.column(6).to_pylist():
+            own = blocks(page)
+            texts.append(main_text(own, []) if any(z == MAIN for z, _ in own) else None)
+            open_.append([x for z, x in own if z == OPEN])
+        return pa.record_batch([*batch.columns[:6], pa.array(texts, pa.string()), pa.array(open_, lines_of)], names=["id", "url", "host", "path", "h", "key", "text", "lines"])
+
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    map_arrow(rows.select("id", "url", "host", "path", "h", "key", "html"), parse, f"id {kind}, url string, host string, path string, h long, key long, text string, lines array<string>").write.parquet(path)
+    parsed = spark.read.parquet(path)
+    done = parsed.filter("text IS NOT NULL").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    others = parsed.filter("text IS NULL")
+    if others.isEmpty():
+        return done
+
+    near = cut(_nearest(parsed).join(others.select("host", "path").distinct(), ["host", "path"]))
+    keys = near.select(F.col("k1").alias("key")).unionByName(near.select(F.col("k2").alias("key"))).distinct()
+    lines = parsed.select("key", "lines").join(keys, "key").dropDuplicates(["key"])
+    near = near.join(lines.select(F.col("key").alias("k1"), F.col("lines").alias("l1")), "k1", "left").join(lines.select(F.col("key").alias("k2"), F.col("lines").alias("l2")), "k2", "left")
+    joined = others.join(near.select("host", "path", "before", "l1", "after", "l2"), ["host", "path"], "left").select("id", "url", "path", "lines", "before", "l1", "after", "l2")
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for own_path, own, before, l1, after, l2 in zip(*(c.to_pylist() for c in batch.columns[2:])):
+            found = [(p, x) for p, x in ((before, l1), (after, l2)) if p is not None]
+            found.sort(key=lambda x: -_common(x[0], own_path))
+            texts.append(main_text([(OPEN, x) for x in own], [x for _, x in found]))
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
+
+    rest = map_arrow(joined, settle, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return done.unionByName(rest)

@@ -429,6 +429,26 @@ def test_template_lines_go(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_many_captures_of_a_path_and_any_ranges(spark):
+    rows = []
+    for host in ("h.com", "g.com"):
+        for p, n in (("a", 3), ("b", 600), ("c", 2), ("d", 1), ("e", 40)):
+            for k in range(n):
+                same = f"<p>The very same long paragraph of {host} {p} in each of its captures"
+                rows.append((len(rows), f"http://{host}/{p}?c={k}", f"<body><p>Menu{same}<p>own {len(rows)}<p>About</body>", f"{same[3:]}\nown {len(rows)}"))
+    rows.append((len(rows), "http://h.com/z", "<body><p>Menu<article><p>Marked</article><p>About</body>", "Marked"))
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(df).collect()}
+            assert got == {i: (t, len(t)) for i, _, _, t in rows}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_warc_round_trip(spark):
     tricky = "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n\x00é"
     rows = [(1, "http://a.com/x y", "same"), (2, None, "same"), (3, "http://a.com/é", tricky), (4, "u", None), (5, "u", ""), (None, "v", "same"), (6, "w", "y" * 300_000), (7, "r", "rep"), (7, "r", "rep")]
