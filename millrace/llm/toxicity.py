@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled texts of each class (distinct texts, least hashes first), keeps the words
-whose presence goes with the label (squared correlation), and stores the sample's TF-IDF vectors over them in an inverted
-index whose postings are in blocks with the largest weight of each block. A query sums these to bounds, reads
+whose presence goes with the label (squared correlation), and stores the sample's TF-IDF vectors over them as a dense
+matrix in blocks of examples, with the largest weight of each word in each block. A query sums these to bounds, reads
 blocks from the highest bound down, and stops when no block left can enter the k nearest; so the nearest are exact.
 The neighbours vote with their cosine as weight and each class weighed back to its share of all labelled rows; votes are
 mapped to probabilities by isotonic regression on leave-one-out votes of the sample. The neighbours are the evidence.
@@ -34,7 +34,7 @@ LEAST_PHI2, LEAST_CHI2 = 0.004, 25.0  #: of a word's presence and the label: squ
 
 @dataclass
 class Model:
-    """Postings by example: ``dense`` holds the unit vectors, ``bounds`` the largest weight of each term in each block."""
+    """``dense`` holds the unit vectors, ``bounds`` the largest weight of each term in each block."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
