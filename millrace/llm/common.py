@@ -94,9 +94,10 @@ def without(df: DataFrame, key: Column, gone: DataFrame, gone_key: str, bits: in
 
     Only rows whose key falls into a bucket of some key in ``gone`` are shuffled; the set of buckets has a fixed bound.
     """
-    gone = gone.select(F.col(gone_key).alias("_gone"))
-    buckets = gone.select(bucket(bits, F.col("_gone")).alias("_bucket")).distinct().withColumn("_near", F.lit(True))
-    marked = df.withColumn("_key", key).withColumn("_bucket", bucket(bits, F.col("_key"))).join(F.broadcast(buckets), "_bucket", "left")
-    quiet = marked.filter("_near IS NULL")
-    near = marked.filter("_near").join(gone.distinct(), F.col("_key") == F.col("_gone"), "left_anti")
-    return quiet.unionByName(near).drop("_key", "_bucket", "_near")
+    gone = gone.select(F.col(gone_key).alias("gone"))
+    buckets = gone.select(bucket(bits, F.col("gone")).alias("bucket")).distinct().withColumn("near", F.lit(True))
+    nested = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key"))
+    marked = nested.withColumn("bucket", bucket(bits, F.col("key"))).join(F.broadcast(buckets), "bucket", "left")
+    quiet = marked.filter("near IS NULL").select("row.*")
+    near = marked.filter("near").join(gone.distinct(), F.col("key") == F.col("gone"), "left_anti").select("row.*")
+    return quiet.unionByName(near)

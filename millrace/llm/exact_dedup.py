@@ -62,20 +62,23 @@ def exact_dedup(
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 18) -> DataFrame:
     """The rows of ``df`` that stay, all columns; of rows that repeat id and text, one stays.
 
-    Only rows in a bucket with some row that goes are shuffled; the set of buckets has a fixed bound.
+    Whole texts are hashed only where length and prefix have left a group, and only rows whose id is in a bucket with some row that goes
+    are shuffled; the set of buckets has a fixed bound.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    found = cut(exact_dedup(df, id_col, text_col, digest_all=True).select(F.col(id_col).alias("_kid"), "text_sha256", "kept"))
-    lost = found.filter("NOT kept").select("_kid", "text_sha256").distinct().withColumn("_once", F.lit(False))
-    twice = found.filter("kept").groupBy("_kid", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("_once", F.lit(True))
+    found = exact_dedup(df, id_col, text_col).filter("text_sha256 IS NOT NULL").select(F.col(id_col).alias("kid"), "text_sha256", "kept")
+    found = cut(found)
+    lost = found.filter("NOT kept").select("kid", "text_sha256").distinct().withColumn("once", F.lit(False))
+    twice = found.filter("kept").groupBy("kid", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("once", F.lit(True))
     marks = lost.unionByName(twice)
-    buckets = marks.select(bucket(bucket_bits, F.col("text_sha256")).alias("_bucket")).distinct().withColumn("_near", F.lit(True))
-    keyed = df.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    keyed = keyed.withColumn("_bucket", bucket(bucket_bits, F.col("_sha"))).join(F.broadcast(buckets), "_bucket", "left")
-    quiet = keyed.filter("_near IS NULL").select(*columns)
-    near = keyed.filter("_near").join(marks, (F.col("_sha") == F.col("text_sha256")) & F.col(id_col).eqNullSafe(F.col("_kid")), "left")
-    single = near.filter("_once IS NULL").select(*columns)
-    repeated = near.filter("_once").dropDuplicates([id_col, "_sha"]).select(*columns)
+    buckets = marks.select(bucket(bucket_bits, F.col("kid")).alias("bucket")).distinct().withColumn("near", F.lit(True))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    nested = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    keyed = nested.withColumn("bucket", bucket(bucket_bits, F.col("id"))).join(F.broadcast(buckets), "bucket", "left")
+    quiet = keyed.filter("near IS NULL").select("row.*")
+    near = keyed.filter("near").select("row", "id", F.sha2("text", 256).alias("sha"))
+    near = near.join(marks, (F.col("sha") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("kid")), "left")
+    single = near.filter("once IS NULL").select("row.*")
+    repeated = near.filter("once").dropDuplicates(["id", "sha"]).select("row.*")
     return quiet.unionByName(single).unionByName(repeated)
 
 

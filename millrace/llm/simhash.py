@@ -3,8 +3,8 @@
 Fingerprints are built in Arrow batches: XXH64 of every word shingle, then a majority vote on each of the 64 bits.
 Links are sought between distinct fingerprints only, so a group of copies of any size is one fingerprint.
 
-With radius r the 64 bits are cut into r + 1 blocks; two fingerprints within r bits agree in a whole block. A shard is
-the fingerprints that share the value of a block. Each shard is stored as BK-trees of at most ``tree_size``
+With radius r the 64 bits are cut into r + 2 blocks; two fingerprints within r bits agree in two whole blocks. A shard is
+the fingerprints that share the values of two blocks. Each shard is stored as BK-trees of at most ``tree_size``
 fingerprints (children keyed by the integer Hamming distance to the parent); every tree is sent to the tasks that hold
 the shard's queries, which follow only the edges whose distance can still hold a match. A tree has a fixed largest
 size, so what is sent to a task has one too; a shard of many trees is spread over many tasks. A task returns
@@ -14,6 +14,7 @@ a spanning forest of the links it found, at most one link per fingerprint, so no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -132,14 +133,16 @@ def _forest(tree_values: list[int], queries: list[int], radius: int) -> tuple[li
 
 
 def blocks_of(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``radius + 1`` blocks that cover 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    """(shift, width) of ``radius + 2`` blocks that cover 64 bits."""
+    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
     return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
 
 
 def _shards(radius: int) -> Column:
-    """The shards of ``fp``: 64 times the value of a block, and the block's number."""
-    return F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) * F.lit(64) + F.lit(i) for i, (s, w) in enumerate(blocks_of(radius))])
+    """The shards of ``fp``: the values of two blocks, and the number of the two."""
+    value = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in blocks_of(radius)]
+    pairs = list(combinations(range(len(value)), 2))
+    return F.array(*[(F.shiftleft(value[i], 32).bitwiseOR(value[j])) * F.lit(len(pairs)) + F.lit(k) for k, (i, j) in enumerate(pairs)])
 
 
 def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096) -> DataFrame:
@@ -201,121 +204,174 @@ def similarity(a: str, b: str, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _held(fps: np.ndarray, sets: list[np.ndarray], split: int, block: int, radius: int, least: float) -> tuple[list[int], list[int]]:
-    """Places of the ends of links that hold, and that span all pairs of the group that hold.
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A key for each band: texts share one if in it the least of the hashes under each of ``rows`` permutations are equal.
 
-    Pairs are of one of the first ``split`` and one of the rest, or of any two if ``split`` is 0; within ``radius`` bits,
-    with ``block`` the first block they agree in, as they meet in the shards of later ones too. A pair goes
-    unchecked only if links that hold join its ends.
+    A permutation of 64 bits is a product by an odd number.
     """
-    m = len(fps)
-    sizes = np.fromiter(map(len, sets), np.int64, m)
+    if not len(hashes):
+        return []
+    odd = np.array([xxhash.xxh64_intdigest(b"permutation", k) | 1 for k in range(bands * rows)], np.uint64)
+    least = np.array([(hashes * x).min() for x in odd], np.uint64).reshape(bands, rows)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)]
+
+
+def greedy_links(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """(i, j): set i shares ``least`` with set j, an earlier one that has no such link itself."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
     starts = np.cumsum(sizes) - sizes
-    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
     flags = np.zeros(int(number.max(initial=-1)) + 1, bool)
-    earlier = [np.uint64(((1 << w) - 1) << s) for s, w in blocks_of(radius)[:block]]
-    label = np.arange(m)
-    a, b = [], []
-    for i in range(split, m):
-        end = split or i
-        near = np.flatnonzero((np.bitwise_count(fps[:end] ^ fps[i]) <= radius) & (label[:end] != label[i]))
-        for mask in earlier:
-            near = near[(fps[near] ^ fps[i]) & mask != 0]
+    cells, used = np.zeros(len(number), np.int64), 0
+    kept, at = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    n, a, b = 0, [], []
+    for i in np.flatnonzero(sizes).tolist():
         own = number[starts[i] : starts[i] + sizes[i]]
-        flags[own] = True
-        for at in range(0, len(near), 256):
-            some = near[at : at + 256]
-            some = some[label[some] != label[i]]
-            if not len(some):
+        if n:
+            flags[own] = True
+            common = np.add.reduceat(flags[cells[:used]], at[:n], dtype=np.int64)
+            flags[own] = False
+            near = kept[:n][common >= least * (sizes[kept[:n]] + sizes[i] - common)]
+            if len(near):
+                a += [i] * len(near)
+                b += near.tolist()
                 continue
-            n = sizes[some]
-            ends = np.cumsum(n)
-            cells = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - n), n)
-            sums = np.concatenate(([0], np.cumsum(flags[number[cells]])))
-            common = sums[ends] - sums[ends - n]
-            for j in some[common >= least * (n + sizes[i] - common)].tolist():
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    a.append(i)
-                    b.append(j)
-        flags[own] = False
+        kept[n], at[n] = i, used
+        cells[used : used + len(own)] = own
+        used += len(own)
+        n += 1
     return a, b
 
 
-def held_links(sets: DataFrame, radius: int, least: float, tree_size: int = 1024, tree_bytes: int = 32 << 20) -> DataFrame:
-    """(a, b): links that span all pairs of nodes within ``radius`` bits that share ``least`` of their shingles.
+def unit_links(members: DataFrame, sets: DataFrame, least: float, whole: bool, unit_size: int, unit_bytes: int = 32 << 20) -> DataFrame:
+    """(node, by): by comes before node and shares ``least`` of its shingles.
 
-    ``sets``: (node, fp, hashes), a row for each node; hashes is binary, the distinct shingle hashes. Links are checked before
-    they are thinned, so those of pairs that fail hide no others.
+    ``members`` (key, node, n, bytes) are the nodes of each bucket, with the bucket's numbers of nodes and bytes; ``sets`` (node, least_id,
+    hashes) has the place in the order and the shingles. A bucket is cut into parts of ``unit_size`` nodes or ``unit_bytes``. A unit is a part,
+    or where ``whole`` two parts of a bucket, so that all its pairs meet. In a unit a node is compared with those before it
+    that have no link there.
     """
     small_batches(sets.sparkSession)
-    sharded = sets.select("node", "fp", "hashes", F.explode(_shards(radius)).alias("shard"))
-    trees = sharded.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes")).filter("n > 1")
-    trees = trees.select("shard", F.ceil(F.greatest(F.col("n") / F.lit(tree_size), F.col("bytes") / F.lit(tree_bytes))).cast("int").alias("trees"))
-    placed = sharded.join(F.broadcast(trees), "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest("trees", F.lit(1))).cast("int"))
-    # the pairs of parts own <= tree; a node is in those with its part at either end
-    other = F.explode(F.sequence(F.lit(0), F.greatest("trees", F.lit(1)) - 1)).alias("other")
-    work = placed.select("shard", "part", "node", "fp", "hashes", other)
-    work = work.select("shard", F.least("part", "other").alias("own"), F.greatest("part", "other").alias("tree"), "part", "node", "fp", "hashes")
-    work = work.repartition("shard", "own", "tree").sortWithinPartitions("shard", "own", "tree", "part", "node")
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(unit_size)), F.ceil(F.col("bytes") / F.lit(unit_bytes))).cast("int")
+    placed = members.select("key", "node", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    if whole:
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        placed = placed.select("key", "node", "part", other).select("key", "node", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    else:
+        placed = placed.select("key", "node", F.col("part").alias("low"), F.col("part").alias("high"))
+    work = placed.join(sets, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "least_id", "node")
+    work = work.select("key", "low", "high", "node", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["shard", "own", "tree"]):
+        for group in sorted_groups(batches, ["key", "low", "high"]):
             if group.num_rows < 2:
                 continue
-            shard, own, tree = (group.column(k)[0].as_py() for k in range(3))
-            split = 0 if own == tree else int((group.column("part").to_numpy() == own).sum())
-            if split == group.num_rows or own != tree and not split:
-                continue
-            hashes = [np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()]
-            a, b = _held(group.column("fp").to_numpy().view(np.uint64), hashes, split, shard % 64, radius, least)
+            a, b = greedy_links([np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()], least)
             if a:
                 nodes = group.column("node").to_numpy()
-                yield pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+                yield pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], names=["node", "by"])
+
+    return work.mapInArrow(run, "node long, by long").distinct()
+
+
+def resolved(links: DataFrame) -> DataFrame:
+    """(node): those that go, if a node goes where a node it is linked to stays. Links lead back in one order, so this has one answer."""
+    rest, gone = links, None
+    while not rest.isEmpty():
+        stays = rest.select(F.col("by")).distinct().join(rest.select(F.col("node").alias("by")).distinct(), "by", "left_anti")
+        now = cut(rest.join(stays, "by", "left_semi").select("node").distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        rest = rest.join(now, "node", "left_anti")
+        rest = cut(rest.join(now.select(F.col("node").alias("by")), "by", "left_anti"))
+    return links.select("node").limit(0) if gone is None else cut(gone)
+
+
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, node) of the buckets with several nodes; of those with the same nodes one is left."""
+    mark = F.xxhash64("node")
+    same = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s")).filter("n > 1")
+    same = same.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
+    return keys.join(same, "key")
 
-    return work.mapInArrow(run, "a long, b long")
 
+def sized(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members`` (key, node) with the numbers of nodes and bytes of each bucket that has several."""
+    total = members.join(sizes, "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).filter("n > 1")
+    return members.join(total, "key")
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay, all columns: of each group of near copies, the one with the least id (nulls first).
 
-    Two rows are linked if their fingerprints are at most ``radius`` bits apart and their texts share ``least`` of their
-    distinct shingles; groups are the components of all such links. Rows with one fingerprint and one set of shingles are
-    one node. Only nodes with another within ``radius`` bits take part in the checks, with their shingle hashes.
-    Rows that repeat id and text stay or go together.
+def near_copies(rows: DataFrame, texts: DataFrame, width: int, radius: int, least: float, unit_size: int = 1024) -> DataFrame:
+    """(node): the nodes that go; see ``drop_near_copies``. ``rows``: (_id, _row, fp, node, bands); ``texts``: (_row, _text).
+
+    After a round a node whose links lead only to nodes that go stays as well, and meets again what it wasn't compared with; so do the nodes
+    that stay of a bucket of many parts, across parts. Rounds end when no link is new.
+    """
+    ways = rows.select("fp", "node").distinct()
+    links = near_links(rows, radius)
+    pair = F.xxhash64(F.lit("pair"), "a", "b")
+    by_fp = links.select(F.col("a").alias("fp"), pair.alias("key")).unionByName(links.select(F.col("b").alias("fp"), pair.alias("key")))
+    by_fp = ways.join(by_fp, "fp").select("key", "node").unionByName(ways.select(F.xxhash64(F.lit("same"), "fp").alias("key"), "node"))
+    members = cut(buckets(rows.select(F.explode("bands").alias("key"), "node").unionByName(by_fp).distinct()))
+    first = rows.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("f"))
+    wanted = cut(members.select("node").distinct().join(first, "node").select("node", F.col("f._id").alias("least_id"), F.col("f._row").alias("_row")))
+
+    keys = wanted.select(bucket(18, F.col("_row")).alias("_bucket")).distinct()
+    some = texts.withColumn("_bucket", bucket(18, F.col("_row"))).join(F.broadcast(keys), "_bucket", "left_semi")
+    needed = some.join(wanted, "_row").select("node", "least_id", "_text")
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [np.unique(shingle_hashes(t, width)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(hashes, pa.binary())], names=["node", "least_id", "hashes"])
+
+    sets = cut(map_arrow(needed, shingles, f"node long, least_id {dict(wanted.dtypes)['least_id']}, hashes binary").dropDuplicates(["node"]))
+    sizes = sets.select("node", F.length("hashes").alias("bytes"))
+    now = cut(sized(members, sizes))
+    links, whole = cut(unit_links(now, sets, least, False, unit_size)), False
+    again = now.filter(F.greatest(F.col("n") / F.lit(unit_size), F.col("bytes") / F.lit(32 << 20)) > 1).select("key").distinct()
+    while True:
+        gone = resolved(links)
+        back = links.select("node").distinct().join(gone, "node", "left_anti")
+        dirty = members.join(back, "node", "left_semi").select("key")
+        again = dirty.distinct() if whole else dirty.unionByName(again).distinct()
+        now = cut(sized(members.join(again, "key", "left_semi").join(gone, "node", "left_anti"), sizes))
+        if now.isEmpty():
+            return gone
+        new = cut(unit_links(now, sets, least, True, unit_size))
+        if new.isEmpty():
+            return gone
+        links, whole = cut(links.unionByName(new).distinct()), True
+
+
+def drop_near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4, least: float = 0.8, bands: int = 12, band_rows: int = 4, unit_size: int = 1024
+) -> DataFrame:
+    """The rows of ``df`` that stay, all columns. A row goes only for a row that stays, comes before it (least id, nulls first) and
+    shares ``least`` of their distinct shingles of ``width`` words.
+
+    Rows are compared if their fingerprints are at most ``radius`` bits apart, found in BK-trees, or if they agree in one of ``bands``
+    keys of ``band_rows`` least hashes each; two texts that share 0.8 agree in none with a probability of 0.002. Of rows
+    with one set of shingles one stays at most. Null text counts as empty; texts without words are equal. Rows that repeat id
+    and text stay or go together.
     """
     small_batches(df.sparkSession)
-    names = df.columns
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), key.alias("_row"))
     kinds = dict(texts.dtypes)["_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, nodes = [], []
+        fps, nodes, keys = [], [], []
         for t in batch.column(1).to_pylist():
             hashes = shingle_hashes(t, width)
             fps.append(fingerprint(hashes))
-            nodes.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), fps[-1]))
+            distinct = np.unique(hashes)
+            nodes.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+            keys.append(np.array(band_keys(distinct, bands, band_rows), np.uint64).view(np.int64))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
-        return pa.record_batch([batch.column(0), batch.column(2), *longs], names=["_id", "_row", "fp", "node"])
-
-    rows = cut(map_arrow(texts, run, f"_id {kinds}, _row long, fp long, node long"))
-    links = cut(near_links(rows, radius))
-    several = rows.groupBy("fp").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("fp")
-    near = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).unionByName(several).distinct()
-    wanted = cut(rows.join(near, "fp").groupBy("node", "fp").agg(F.min("_row").alias("_row")))
-
-    keys = wanted.select(bucket(18, F.col("_row")).alias("_bucket")).distinct()
-    some = texts.select("_row", "_text", bucket(18, F.col("_row")).alias("_bucket")).join(F.broadcast(keys), "_bucket", "left_semi")
-    needed = some.join(wanted, "_row").select("node", "fp", "_text")
-
-    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [np.unique(shingle_hashes(t, width)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(hashes, pa.binary())], names=["node", "fp", "hashes"])
-
-    sets = cut(map_arrow(needed, shingles, "node long, fp long, hashes binary").dropDuplicates(["node"]))
-    held = components(held_links(sets, radius, least))
-    named = rows.join(held.withColumnRenamed("vertex", "node"), "node", "left").select("_id", "_row", F.coalesce("root", "node").alias("root"))
-    stays = named.groupBy("root").agg(F.min(F.struct("_id", "_row")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("f._row").alias("stay"))
-    gone = named.join(stays, "root").filter("_row <> stay").select("_row")
-    return without(df, key, cut(gone), "_row").select(*[F.col(f"`{c}`") for c in names])
+        return pa.record_batch([batch.column(0), batch.column(2), *longs, pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_row", "fp", "node", "bands"])
+
+    rows = cut(map_arrow(texts, run, f"_id {kinds}, _row long, fp long, node long, bands array<long>"))
+    nodes = near_copies(rows, texts.select("_row", "_text"), width, radius, least, unit_size)
+    first = rows.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("f"), F.count("*").alias("n"))
+    copies = rows.join(first.filter("n > 1").select("node", F.col("f._row").alias("stay")), "node").filter("_row <> stay").select("_row")
+    gone = copies.unionByName(rows.join(nodes, "node", "left_semi").select("_row"))
+    return without(df, key, cut(gone), "_row")

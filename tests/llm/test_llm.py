@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.llm import bpe, bwt, cdc, components, decontaminate, exact_dedup, html_extract, pii, simhash, suffix_dedup, toxicity, warc
 from millrace.llm.common import without
 
+SF = "/root/testdata/sf0.001"
+
 DOCS = "doc_id long, text string, lang string, _text string, keep_id long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -139,20 +141,6 @@ def test_near_copies_go_and_clean_ones_stay(spark):
     assert simhash.drop_near_copies(frame(spark, [])).count() == 0
 
 
-def brute_near_copies(rows, width, radius, least):
-    """Ids that stay: every pair within ``radius`` bits is checked."""
-    fps = np.array([brute_fingerprint(t, width) for _, t in rows], np.uint64)
-    sets = [set(simhash.shingle_hashes(text(t), width).tolist()) for _, t in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius).tolist():
-            n = len(sets[i] & sets[j])
-            if label[i] != label[j] and n >= least * (len(sets[i]) + len(sets[j]) - n):
-                x, y = label[i], label[j]
-                label = [y if k == x else k for k in label]
-    return {min(i for (i, _), k in zip(rows, label) if k == g) for g in set(label)}
-
-
 def family(seed, n, size, most):
     """Copies of one text, each with up to ``most`` words changed: pairs on either side of 0.8."""
     r, base, out = random.Random(seed), words(seed, size).split(), []
@@ -164,23 +152,65 @@ def family(seed, n, size, most):
     return out
 
 
-@pytest.mark.parametrize("tree_size", [1024, 100])
-def test_near_copies_of_a_large_family(spark, tree_size, monkeypatch):
-    monkeypatch.setattr(simhash.held_links, "__defaults__", (tree_size, 32 << 20))
-    rows = list(enumerate(family(21, 1100, 90, 6) + family(22, 100, 400, 16) + [words(500 + k, 60) for k in range(40)] + ["", " ", "one two", "One  two"]))
-    random.Random(3).shuffle(rows)
-    kept = [r["doc_id"] for r in simhash.drop_near_copies(frame(spark, rows)).collect()]
-    want = brute_near_copies(rows, 5, 7, 0.8)
-    assert len(want) > 60 and len(kept) == len(set(kept)) and set(kept) == want
+def close_pairs(rows, least=0.8, width=5):
+    """(i, j) of all pairs of rows that share ``least`` of their shingles; by a shingle index, so of any distance."""
+    sets = {i: set(simhash.shingle_hashes(text(t), width).tolist()) for i, t in rows}
+    index = {}
+    for i, x in sets.items():
+        for h in x:
+            index.setdefault(h, []).append(i)
+    common = Counter()
+    for held in index.values():
+        common.update((i, j) for k, j in enumerate(held) for i in held[:k])
+    out = {tuple(sorted(p)) for p, n in common.items() if n >= least * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    empty = sorted(i for i, x in sets.items() if not x)
+    return out | {(i, j) for k, j in enumerate(empty) for i in empty[:k]}
 
 
-def test_equal_fingerprints_are_all_compared():
+@pytest.mark.parametrize("unit_size", [1024, 100])
+def test_near_copies_of_a_large_family(spark, unit_size):
+    rows = list(enumerate(family(21, 1100, 90, 6) + family(22, 100, 400, 16) + [words(500 + k, 60) for k in range(40)] + ["", " ", "one two", "One  two"]))
+    random.Random(3).shuffle(rows)
+    kept = [r["doc_id"] for r in simhash.drop_near_copies(frame(spark, rows), unit_size=unit_size).collect()]
+    pairs = close_pairs(rows)
+    stays = set(kept)
+    assert len(kept) == len(stays) and len(stays) > 60 and len(pairs) > 5_000
+    assert sum(i in stays and j in stays for i, j in pairs) <= 0.01 * len(pairs)
+    near = {}
+    for i, j in pairs:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    assert all(near[i] & stays for i, _ in rows if i not in stays)
+
+
+def test_near_copies_of_the_documents(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    stays = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+    pairs = close_pairs(rows)
+    near = {}
+    for i, j in pairs:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    left = sum(i in stays and j in stays for i, j in pairs)
+    assert pairs and left <= 0.1 * len(pairs)
+    assert all(near.get(i, set()) & stays for i, _ in rows if i not in stays)
+
+
+def test_greedy_links_go_to_sets_without_any():
     a, b = words(31, 80), words(32, 80)
-    rows = [(1, words(30, 80)), (2, a), (3, a + " end"), (4, b), (5, b + " end"), (6, words(33, 80))]
-    fps, ids = np.full(6, 5, np.uint64), [i for i, _ in rows]
-    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
-    x, y = simhash._held(fps, sets, 0, 0, 7, 0.8)
-    assert {frozenset((ids[i], ids[j])) for i, j in zip(x, y)} == {frozenset((2, 3)), frozenset((4, 5))}
+    texts = [words(30, 80), a, a + " end", b, b + " end", words(33, 80), a + " end now", ""]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    assert list(zip(*simhash.greedy_links(sets, 0.8))) == [(2, 1), (4, 3), (6, 1)]
+
+
+def test_names_of_columns_may_clash(spark):
+    rows = [(1, LONG, 5), (2, LONG, 6), (3, None, 7), (3, None, 7)]
+    names = ["_key", "_near", "_bucket", "_sha", "text_sha256", "fp", "node", "row", "key"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x long").select("doc_id", "text", *[F.col("x").alias(n) for n in names])
+    for out in (simhash.drop_near_copies(docs), exact_dedup.drop_copies(docs)):
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"], r["text"], *r[2:]) for r in out.collect() if r["doc_id"] != 3) in ([(1, LONG, *[5] * 9)], [(2, LONG, *[6] * 9)])
 
 
 def test_without(spark):
