@@ -192,7 +192,7 @@ class PrefixBPE:
     older goes.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 100_000, longest: int = 64):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.width = max(map(len, ranks))

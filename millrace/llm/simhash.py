@@ -26,6 +26,7 @@ from .common import bucket, cut, map_arrow, small_batches, sorted_groups, text_o
 from .components import components
 
 SEED = 42
+UNIT_BYTES = 8 << 20  #: of shingle hashes that meet in a task at once
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -243,7 +244,7 @@ def greedy_links(sets: list[np.ndarray], least: float) -> tuple[list[int], list[
     return a, b
 
 
-def unit_links(members: DataFrame, sets: DataFrame, least: float, whole: bool, unit_size: int, unit_bytes: int = 32 << 20) -> DataFrame:
+def unit_links(members: DataFrame, sets: DataFrame, least: float, whole: bool, unit_size: int, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """(node, by): by comes before node and shares ``least`` of its shingles.
 
     ``members`` (key, node, n, bytes) are the nodes of each bucket, with the bucket's numbers of nodes and bytes; ``sets`` (node, least_id,
@@ -327,7 +328,7 @@ def near_copies(rows: DataFrame, texts: DataFrame, width: int, radius: int, leas
     sizes = sets.select("node", F.length("hashes").alias("bytes"))
     now = cut(sized(members, sizes))
     links, whole = cut(unit_links(now, sets, least, False, unit_size)), False
-    again = now.filter(F.greatest(F.col("n") / F.lit(unit_size), F.col("bytes") / F.lit(32 << 20)) > 1).select("key").distinct()
+    again = now.filter(F.greatest(F.col("n") / F.lit(unit_size), F.col("bytes") / F.lit(UNIT_BYTES)) > 1).select("key").distinct()
     while True:
         gone = resolved(links)
         back = links.select("node").distinct().join(gone, "node", "left_anti")

@@ -1,15 +1,17 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine, exact, from a block-max inverted index.
 
-Fitting takes a bounded sample of labelled texts of each class (distinct texts, least hashes first), keeps the words
-whose presence goes with the label (squared correlation), and stores the sample's TF-IDF vectors over them as a dense
-matrix in blocks of examples, with the largest weight of each word in each block. A query sums these to bounds, reads
-blocks from the highest bound down, and stops when no block left can enter the k nearest; so the nearest are exact.
+Fitting takes a bounded sample of labelled texts of each class (distinct texts, least hashes first). All its words make the vocabulary. A
+word weighs (1 + ln tf) * idf * |phi|, where phi is the correlation of its presence with the label: without that factor the
+subject of a text drowns its tone (README has figures). The index holds for each word the examples that have it, cut into blocks
+of examples with the largest weight in each. A query adds up the shares of frequent words; where the blocks' maxima of its rare words leave few
+examples that can be among the k nearest, these are scored in full, else its rare words are added up first. Ties go to the first example.
 The neighbours vote with their cosine as weight and each class weighed back to its share of all labelled rows; votes are
 mapped to probabilities by isotonic regression on leave-one-out votes of the sample. The neighbours are the evidence.
 
-* Null text counts as empty. A text without any kept word has no neighbours and gets the probability of such texts.
+* Null text counts as empty. A text without any word of the sample has no neighbours and gets the probability of such texts.
 * A null label counts as 0, documents with several labels as the largest. Without labels every score is 0.
-* The model's size is bounded by ``per_class`` and ``terms``; scoring shuffles nothing and holds one batch.
+* The model grows with the sample, at most ``per_class`` texts of each class; scoring shuffles nothing and holds one batch. A text of
+  any length is read whole.
 """
 
 from __future__ import annotations
@@ -17,29 +19,128 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, small_batches, text_of
 
+word_hash = xxhash.xxh64_intdigest
 WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 32
-LEAST_DF = 5
-LEAST_PHI2, LEAST_CHI2 = 0.004, 25.0  #: of a word's presence and the label: squared correlation, alike at every sample size, and significance
+FEW = 48  #: examples that are scored in full at most, before the rare words are added up for all
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Index:
+    """Postings of unit vectors: ``start`` of each term, then ``example`` and ``weight``; blocks likewise, with their largest weight.
+
+    ``row_start``, ``term`` and ``value`` hold the same vectors by example.
+    """
+
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        """Example i has the next ``sizes[i]`` of ``terms``, in rising order, and ``weights``."""
+        self.n = len(sizes)
+        self.row_start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.term, self.value = terms.astype(np.int32), weights.astype(np.float32)
+        example = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        order = np.argsort(self.term, kind="stable")
+        self.example, self.weight = example[order], self.value[order]
+        held = self.term[order]
+        self.start = np.searchsorted(held, np.arange(n_terms + 1)).astype(np.int64)
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.diff(held, prepend=-1) | np.diff(block, prepend=-1)) if len(held) else np.zeros(0, np.int64)
+        self.block = block[first]
+        self.block_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.block_start = np.searchsorted(held[first], np.arange(n_terms + 1)).astype(np.int64)
+        self.query = np.zeros(n_terms)
+        self.full: np.ndarray | None = None
+
+    def _fill(self) -> None:
+        """Writes the postings of terms that an eighth of the examples have out in full, in rows by example; not part of what is sent to tasks."""
+        many = np.flatnonzero(np.diff(self.start) * 8 >= max(self.n, 1))
+        self.slot = np.full(len(self.start) - 1, -1)
+        self.slot[many] = np.arange(len(many))
+        self.full = np.zeros((len(many), self.n), np.float32)
+        for i, t in enumerate(many.tolist()):
+            a, b = self.start[t], self.start[t + 1]
+            self.full[i, self.example[a:b]] = self.weight[a:b]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"full": None}
+
+    def cosines(self, rows: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of each of ``rows`` with the query; sums run in the order of terms, so equal examples get equal numbers."""
+        sizes = self.row_start[rows + 1] - self.row_start[rows]
+        cells = _ranges(self.row_start[rows], sizes)
+        self.query[terms] = w
+        shares = self.query[self.term[cells]] * self.value[cells]
+        self.query[terms] = 0
+        return np.add.reduceat(shares, np.cumsum(sizes) - sizes) if len(rows) else shares
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights): (examples, cosines) of the ``k`` nearest with a cosine over 0, the first of equals.
+
+        ``without``: an example for each query that doesn't count.
+        """
+        if self.full is None:
+            self._fill()
+        for at in range(0, len(queries), 64):
+            part = queries[at : at + 64]
+            q = np.zeros((len(part), len(self.full)), np.float32)
+            rare = []
+            for i, (terms, w) in enumerate(part):
+                slot = self.slot[terms]
+                q[i, slot[slot >= 0]] = w[slot >= 0]
+                rare.append(slot < 0)
+            sums = q @ self.full
+            for i, (terms, w) in enumerate(part):
+                yield self._finish(sums[i], terms, w, rare[i], k, without[at + i] if without else -1)
+
+    def _finish(self, sums: np.ndarray, terms: np.ndarray, w: np.ndarray, rare: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """``sums`` has the shares of the terms that aren't ``rare``."""
+        if without >= 0:
+            sums[without] = 0
+        t, wt = terms[rare], w[rare]
+        sizes = self.block_start[t + 1] - self.block_start[t]
+        cells = _ranges(self.block_start[t], sizes)
+        rest = np.bincount(self.block[cells], np.repeat(wt, sizes) * self.block_max[cells], -(-self.n // BLOCK))
+        rows = self._open(sums, np.repeat(rest, BLOCK)[: self.n], k)
+        if len(rows) > FEW:
+            sizes = self.start[t + 1] - self.start[t]
+            cells = _ranges(self.start[t], sizes)
+            sums = sums + np.bincount(self.example[cells], np.repeat(wt, sizes) * self.weight[cells], self.n)
+            if without >= 0:
+                sums[without] = 0
+            rows = self._open(sums, 0.0, k)
+        rows = rows[rows != without]
+        found = self.cosines(rows, terms, w)
+        rows, found = rows[found > 0], found[found > 0]
+        top = np.lexsort((rows, -found))[:k]
+        return rows[top], found[top]
+
+    def _open(self, sums: np.ndarray, rest: np.ndarray | float, k: int) -> np.ndarray:
+        """The examples that can be among the ``k`` nearest if ``rest`` is the most that sums lack; sums may err by 0.00001."""
+        kth = np.partition(sums, self.n - k)[self.n - k] if self.n > k else 0.0
+        bound = sums + rest
+        return np.flatnonzero((bound >= kth - 2e-5) & (bound > 0))
 
 
 @dataclass
 class Model:
-    """``dense`` holds the unit vectors, ``bounds`` the largest weight of each term in each block."""
-
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    dense: np.ndarray
-    bounds: np.ndarray
+    vocabulary: np.ndarray  #: 64-bit hashes of the words, sorted; a word's place is its term
+    weight: np.ndarray
+    index: Index
     labels: np.ndarray
     weights: np.ndarray
     ids: list
@@ -47,38 +148,21 @@ class Model:
     prior: float
     steps: list[tuple[float, float]] = field(default_factory=list)
     empty: float = 0.0
-    memo: dict = field(default_factory=dict)
-
-    def vector(self, text: str) -> tuple[tuple[int, ...], np.ndarray]:
-        """(terms, unit weights) of ``text``; no terms if it has no kept word."""
-        seen = Counter(filter(self.vocabulary.__contains__, WORDS.findall(text.lower())))
-        if not seen:
-            return (), np.zeros(0, np.float32)
-        pairs = sorted((self.vocabulary[w], n) for w, n in seen.items())
-        terms = np.array([t for t, _ in pairs])
-        w = (1 + np.log([n for _, n in pairs])) * self.idf[terms]
-        return tuple(terms.tolist()), (w / np.linalg.norm(w)).astype(np.float32)
-
-    def nearest(self, terms: tuple[int, ...], w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the ``k`` nearest with a cosine over 0, the first of equals."""
-        t = list(terms)
-        bound = w @ self.bounds[t]
-        order = np.argsort(-bound, kind="stable")
-        best, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        at, step = 0, 8
-        while at < len(order) and bound[order[at]] > 0:
-            if len(best) == self.k and bound[order[at]] < cosines[-1] - 1e-6:
-                break
-            blocks = order[at : at + step]
-            blocks = blocks[bound[blocks] > 0]
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[(rows < len(self.labels)) & (rows != without)]
-            score = self.dense[np.ix_(rows, t)] @ w
-            rows, score = np.concatenate((best, rows[score > 0])), np.concatenate((cosines, score[score > 0]))
-            top = np.lexsort((rows, -score.round(5)))[: self.k]
-            best, cosines = rows[top], score[top]
-            at, step = at + step, step * 2
-        return best, cosines
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, unit weights) of ``text``; no terms if it has no word of the sample."""
+        seen = Counter(WORDS.findall(text.lower()))
+        hashes = np.array([word_hash(w.encode("utf-8", "surrogatepass"), 42) for w in seen], np.uint64).view(np.int64)
+        n = np.fromiter(seen.values(), np.int64, len(seen))
+        order = np.argsort(hashes)
+        hashes, n = hashes[order], n[order]
+        terms = np.searchsorted(self.vocabulary[:-1], hashes)
+        known = self.vocabulary[terms] == hashes
+        terms, n = terms[known], n[known]
+        if not len(terms):
+            return terms, np.zeros(0)
+        w = (1 + np.log(n)) * self.weight[terms]
+        return terms, w / np.linalg.norm(w)
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines * self.weights[near]
@@ -92,23 +176,22 @@ class Model:
             p = value
         return p
 
-    def score(self, text: str) -> tuple[float, list[tuple]]:
-        """(probability, evidence); evidence: (example id, cosine, label) of the nearest."""
-        if not len(self.labels):
-            return self.prior, []
-        terms, w = self.vector(text)
-        if not terms:
-            return self.empty, []
-        key = (terms, w.tobytes())
-        got = self.memo.get(key)
-        if got is None:
-            near, cosines = self.nearest(terms, w)
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple]]]:
+        """(probability, evidence) of each text; evidence: (example id, cosine, label) of the nearest."""
+        if not len(self.labels) or not len(self.vocabulary):
+            return [(self.prior, [])] * len(texts)
+        out: list = [(self.empty, [])] * len(texts)
+        open_: dict[str, list[int]] = {}
+        for i, t in enumerate(texts):
+            open_.setdefault(t or "", []).append(i)
+        vectors = [(t, *self.vector(t)) for t in open_]
+        vectors = [x for x in vectors if len(x[1])]
+        for (t, *_), (near, cosines) in zip(vectors, self.index.nearest([x[1:] for x in vectors], self.k)):
             p = self.calibrated(self.vote(near, cosines)) if len(near) else self.empty
-            got = p, [(self.ids[i], round(float(c), 6), int(self.labels[i])) for i, c in zip(near[:5].tolist(), cosines[:5].tolist())]
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
+            evidence = [(self.ids[i], round(float(c), 6), int(self.labels[i])) for i, c in zip(near[:5].tolist(), cosines[:5].tolist())]
+            for i in open_[t]:
+                out[i] = p, evidence
+        return out
 
 
 def isotonic(votes: list[float], labels: list[float], weights: list[float]) -> list[tuple[float, float]]:
@@ -132,13 +215,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, terms: int = 512, k: int = 15, usable: Column | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, k: int = 15, usable: Column | None = None) -> Model:
     """A model from ``labels`` (``usable`` says which rows may be learned from), at most ``per_class`` texts of each class."""
     known = labels.select(F.col(id_col).alias("_id"), F.coalesce(F.col(label_col).cast("int"), F.lit(0)).alias("_y"), (usable if usable is not None else F.lit(True)).alias("_ok"))
     known = known.filter("_ok AND _id IS NOT NULL").groupBy("_id").agg(F.max("_y").alias("_y"))
     share = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
-    empty = Model({}, np.zeros(0), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0), [], k, (share.get(1, 0) / total) if total else 0.0)
+    none = np.zeros(0)
+    empty = Model(none.astype(int), none, Index(none.astype(int), none.astype(int), none, 0), none, none, [], k, (share.get(1, 0) / total) if total else 0.0)
     if not total:
         return empty
     draw = F.xxhash64("_id")
@@ -146,47 +230,59 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most 2 * per_class ids, so the broadcast has a bound
     texts = text_of(docs, id_col, text_col).join(F.broadcast(chosen), "_id")
     texts = texts.groupBy(F.sha2("_text", 256).alias("sha")).agg(F.min("_id").alias("_id"), F.max("_y").alias("_y"), F.first("_text").alias("_text")).drop("sha")
-    texts = cut(texts)  # the sample, read four times below
-    words = texts.select("_id", "_y", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), 0)).alias("word")).groupBy("_id", "_y", "word").agg(F.count("*").alias("tf"))
+    texts = cut(texts)  # the sample, read three times below
+    term = F.explode(F.transform(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), 0), lambda w: F.xxhash64(w))).alias("term")
+    words = cut(texts.select("_id", "_y", term).groupBy("_id", "_y", "term").agg(F.count("*").cast("int").alias("tf")))
     sizes = {r["_y"]: r["n"] for r in texts.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     pos, neg = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    counts = words.groupBy("word").agg(F.sum("_y").alias("a"), F.sum(1 - F.col("_y")).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n, have = F.lit(pos + neg), a + b
-    phi2 = F.pow(a * (F.lit(neg) - b) - b * (F.lit(pos) - a), 2) / (have * (n - have) * F.lit(max(pos * neg, 1.0)))
-    ranked = counts.filter(f"a + b >= {LEAST_DF}").filter(have < n).withColumn("phi2", phi2).filter(F.col("phi2") >= max(LEAST_PHI2, LEAST_CHI2 / (pos + neg))).orderBy(F.desc("phi2"), "word").limit(terms)
-    kept = ranked.collect()
-    if not kept:
+    n = pos + neg
+    counts = words.groupBy("term").agg(F.sum("_y").alias("a"), F.count("*").alias("df"))
+    a, df = F.col("a").cast("double"), F.col("df").cast("double")
+    phi2 = F.pow(a * (F.lit(neg) - df + a) - (df - a) * (F.lit(pos) - a), 2) / (df * (F.lit(n) - df) * F.lit(max(pos * neg, 1.0)))
+    kept = counts.filter(df < n).select("term", ((F.log(F.lit(1 + n) / (1 + df)) + 1) * F.sqrt(phi2)).alias("weight")).filter("weight > 0").toArrow()
+    if not kept.num_rows:
         return empty
-    vocabulary = {r["word"]: i for i, r in enumerate(kept)}
-    idf = np.array([math.log((1 + pos + neg) / (1 + r["a"] + r["b"])) + 1 for r in kept])
-    chosen_words = F.broadcast(docs.sparkSession.createDataFrame([(w, i) for w, i in vocabulary.items()], "word string, term int"))
-    bags = words.join(chosen_words, "word").groupBy("_id", "_y").agg(F.collect_list(F.struct("term", "tf")).alias("bag"))
-    rows = texts.select("_id", "_y").join(bags.drop("_y"), "_id", "left").collect()
-    rows = sorted(rows, key=lambda r: (r["_y"], sorted(x["term"] for x in r["bag"] or ()), str(r["_id"])))
-    filled = [r for r in rows if r["bag"]]
-    dense = np.zeros((len(filled), len(kept)), np.float32)
-    for i, r in enumerate(filled):
-        for x in r["bag"]:
-            dense[i, x["term"]] = (1 + math.log(x["tf"])) * idf[x["term"]]
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
-    y = np.array([r["_y"] for r in filled], np.float64)
-    weight = {1: share.get(1, 0) / max(pos, 1), 0: share.get(0, 0) / max(neg, 1)}
-    weight = {c: w * (pos + neg) / total for c, w in weight.items()}
-    blocks = -(-len(filled) // BLOCK) if filled else 0
-    bounds = np.zeros((len(kept), blocks), np.float32)
-    for i in range(blocks):
-        bounds[:, i] = dense[i * BLOCK : (i + 1) * BLOCK].max(0)
-    model = Model(vocabulary, idf, dense, bounds, y, np.where(y > 0, weight[1], weight[0]), [r["_id"] for r in filled], k, share.get(1, 0) / total)
-    bare = [weight[r["_y"]] * np.array([r["_y"], 1.0]) for r in rows if not r["bag"]]
-    model.empty = float(sum(x[0] for x in bare) / sum(x[1] for x in bare)) if bare else model.prior
+    order = np.argsort(kept.column("term").to_numpy())
+    vocabulary, weight = kept.column("term").to_numpy()[order], kept.column("weight").to_numpy()[order]
+    bags = words.groupBy("_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    rows = texts.select("_id", "_y").join(bags, "_id", "left").toArrow()
+
+    ids, y = rows.column("_id").to_pylist(), np.array(rows.column("_y").to_pylist(), np.float64)
+    held = rows.column("terms").combine_chunks()
+    size = np.nan_to_num(np.array(held.value_lengths().to_pylist(), np.float64)).astype(np.int64)
+    hashes, tf = held.flatten().to_numpy(), rows.column("tfs").combine_chunks().flatten().to_numpy()
+    del rows, held
+    terms = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    known = vocabulary[terms] == hashes
+    terms, tf, example = terms[known], tf[known], np.repeat(np.arange(len(ids)), size)[known]
+    size = np.bincount(example, minlength=len(ids))
+    value = (1 + np.log(tf)) * weight[terms]
+    value /= np.sqrt(np.bincount(example, value**2, len(ids)))[example]
+    lead = np.full(len(ids), -1)  # the heaviest word; examples that share one come to stand together
+    by = np.lexsort((value, example))
+    lead[example[by]] = terms[by]
+    place = np.empty(len(ids), np.int64)
+    filled = sorted(np.flatnonzero(size).tolist(), key=lambda i: (y[i], lead[i], str(ids[i])))
+    place[filled] = np.arange(len(filled))
+    by = np.lexsort((terms, place[example]))
+    index = Index(size[filled], terms[by], value[by], len(vocabulary))
+
+    per = {1: share.get(1, 0) / max(pos, 1), 0: share.get(0, 0) / max(neg, 1)}
+    per = {c: w * n / total for c, w in per.items()}
+    model = Model(vocabulary, weight, index, y[filled], np.where(y[filled] > 0, per[1], per[0]), [ids[i] for i in filled], k, share.get(1, 0) / total)
+    bare = np.flatnonzero(size == 0)
+    if len(bare):
+        w = np.where(y[bare] > 0, per[1], per[0])
+        model.empty = float(w @ y[bare] / w.sum())
+    else:
+        model.empty = model.prior
     votes, ys, ws = [], [], []
-    for i in range(0, len(filled), max(1, len(filled) // 2000)):
-        t = tuple(np.flatnonzero(dense[i]).tolist())
-        near, cosines = model.nearest(t, dense[i, list(t)], without=i)
+    drawn = list(range(0, len(filled), max(1, len(filled) // 2000)))
+    spans = [slice(index.row_start[i], index.row_start[i + 1]) for i in drawn]
+    for i, (near, cosines) in zip(drawn, index.nearest([(index.term[x], index.value[x].astype(float)) for x in spans], k, drawn)):
         if len(near):
             votes.append(model.vote(near, cosines))
-            ys.append(float(y[i]))
+            ys.append(float(model.labels[i]))
             ws.append(float(model.weights[i]))
     model.steps = isotonic(votes, ys, ws)
     return model
@@ -200,7 +296,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        found = [m.score(t) for t in batch.column(1).to_pylist()]
+        found = m.scores(batch.column(1).to_pylist())
         p = [x[0] for x in found]
         evidence = pa.array([[{"example": str(e), "cosine": c, "label": y} for e, c, y in x[1]] for x in found], pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())])))
         return pa.record_batch([batch.column(0), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), evidence], names=[id_col, "score", "predicted", "evidence"])
@@ -216,6 +312,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        return batch.filter(pa.array([m.score(t or "")[0] < threshold for t in texts], pa.bool_()))
+        return batch.filter(pa.array([p < threshold for p, _ in m.scores(texts)], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

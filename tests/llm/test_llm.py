@@ -407,18 +407,38 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(df, empty).collect()} == {0.0}
 
 
-def test_nearest_examples_are_exact():
+def test_nearest_examples_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "FEW", 20)
     r = np.random.default_rng(3)
-    dense = np.where(r.random((400, 20)) < 0.2, r.random((400, 20)), 0).astype(np.float32)
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    n = -(-400 // toxicity.BLOCK)
-    bounds = np.stack([dense[i * toxicity.BLOCK : (i + 1) * toxicity.BLOCK].max(0) for i in range(n)], 1)
-    m = toxicity.Model({}, np.ones(20), dense, bounds, np.zeros(400), np.ones(400), list(range(400)), 15, 0.0)
-    for q in dense[:40]:
+    vocabulary = 300
+    dense = np.where(r.random((700, vocabulary)) < np.geomspace(0.7, 0.005, vocabulary), r.random((700, vocabulary)) * np.geomspace(0.02, 1, vocabulary), 0)
+    dense[400:440] = dense[7]  # ties at the k-th neighbour
+    dense = dense[dense.any(1)]
+    dense = (dense / np.linalg.norm(dense, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    example, terms = np.nonzero(dense)
+    index = toxicity.Index(np.bincount(example, minlength=len(dense)), terms, dense[example, terms], vocabulary)
+    for i in [*range(60), 401]:
+        q = dense[i] if i % 2 else np.where(r.random(vocabulary) < 0.2, dense[i], 0)
         t = np.flatnonzero(q)
-        if len(t):
-            _, cosines = m.nearest(tuple(t.tolist()), q[t])
-            assert np.allclose(cosines, np.sort(dense @ q)[::-1][:15], atol=1e-5)
+        if not len(t):
+            continue
+        for without in (-1, i):
+            near, cosines = next(index.nearest([(t, q[t])], 15, [without]))
+            want = np.array([sum(q[j] * dense[row, j] for j in np.flatnonzero(dense[row])) for row in range(len(dense))])
+            if without >= 0:
+                want[without] = 0
+            best = np.lexsort((np.arange(len(dense)), -want.round(12)))[:15]
+            best = best[want[best] > 0]
+            assert np.allclose(cosines, want[best], atol=1e-12) and near.tolist() == best.tolist()
+
+
+def test_toxicity_of_any_text(spark):
+    docs = frame(spark, ROWS + [(70, "vile " + words(70, 30)), (71, "vile " + words(71, 30)), (72, words(72, 30)), (73, "vile " * 200_000)])
+    lab = spark.createDataFrame([(i, int(i in (70, 71))) for i in (1, 5, 6, 9, 70, 71, 72)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got[73] == got[70] > got[72] and got[4] == got[3] == model.empty
+    assert toxicity.score(frame(spark, []), model).count() == 0 and not len(toxicity.fit(frame(spark, []), lab).vocabulary)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
