@@ -1,18 +1,19 @@
-"""Main text of web pages: markup rules, then differences to the page with the nearest URL.
+"""Main text of web pages: markup rules, and differences to the page with the nearest URL.
 
 A page is cut into blocks (lines of text). Blocks in navigation, footers, sidebars, forms, adverts, notices, comment
-sections and the like are dropped by element or by class, id or role. Blocks within article or main are the text
-where a page has such an element. On other pages the template is found by comparison: pages are sorted by host and
-URL path, each is paired with a page of the nearest other path, their lines are aligned by longest common subsequence,
-and shared lines go. A neighbour which shares at least half of a page's text is another copy of the page and says
-nothing of the template; it is passed over for the neighbour on the other side.
-
-Lines within article and main are not deleted by comparison: in these tables articles of one host quote the same
-paragraphs, and deleting those would lose text.
+sections and the like are out, by element or by class, id, role or label. The lines that are left are compared with those of the pages with the
+nearest other URL paths of the host: lines are aligned by longest common subsequence, and shared ones are the template.
 
+* On pages without article or main shared lines go. A neighbour which shares at least half of a page's text is another copy of the page
+  and says nothing of the template; it is passed over for the neighbour on the other side.
+* Where article or main hold the text, articles of a host may quote the same paragraphs, so a shared line within them goes only if at least
+  ``often`` of the host's pages (five at least) hold it. What stands outside is left out, unless it is more than twice as long: then article
+  or main is a teaser, and the page counts as one without.
 * Null html counts as empty; a page without main text gives an empty string. Pages without a URL are compared with none.
 * All pages of one host and path have the same neighbours, found among the distinct paths. Those are dealt out by ranges,
-  so that a host of any size is spread over tasks; html isn't shuffled, and only lines of the pages to compare are.
+  so that a host of any size is spread over tasks; partitions don't change results. Lines are compared by 64-bit hashes. Html is
+  shuffled only for pages in a bucket with some from which a line goes; it is parsed twice, and memory is in proportion to one page.
+* Rows that repeat id, URL and html get the same text.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ from bisect import bisect_left
 from collections import defaultdict
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, shared_dir, small_batches
+from .common import bucket, cut, map_arrow, shared_dir, small_batches
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg annotation object canvas audio video".split())
 DROPPED = frozenset("nav footer aside form menu dialog select button fieldset option search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id, role or label that mark what is not the article.
@@ -43,22 +45,38 @@ MARKS = frozenset(
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget "
     "complementary contentinfo alert rail".split()
 )
-KEPT = frozenset("article main body html h1 h2 h3 h4 h5 h6".split())
+KEPT = frozenset("main body html h1 h2 h3 h4 h5 h6".split())
+#: Of an article only these say that it is none.
+NO_ARTICLE = frozenset("ad advert advertisement comment comments promo promoted reply replies sponsored teaser".split())
+#: Words before a mark that make it say something of the element around it: with-sidebar, has-share-buttons.
+AROUND = frozenset("with without has have no is not js can show hide".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-WORD = re.compile(r"[a-z]+")
+PART = re.compile(r"[^a-z]+")
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "title"}
 
 OPEN, MAIN, OUT = 0, 1, 2
 
 
+def _is_mark(token: str) -> bool:
+    """Whether a class token is a mark, or begins or ends with one."""
+    parts = [x for x in PART.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x]
+    return bool(parts) and parts[0] not in AROUND and (parts[0] in MARKS or parts[-1] in MARKS)
+
+
 def _marked(name: str, attrs: str) -> bool:
-    if name in KEPT and name not in ("article", "main"):
+    if name in KEPT:
         return False
     for m in ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        if MARKS & set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+        if m[1].lower() == "aria-label":
+            if name != "article" and value.strip().lower() in MARKS:
+                return True
+        elif name == "article":
+            if NO_ARTICLE & set(value.lower().split()):
+                return True
+        elif any(map(_is_mark, value.split())):
             return True
     return bool(HIDDEN.search(attrs))
 
@@ -139,9 +157,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``, by the matches of each line in order."""
-    where: dict[str, list[int]] = defaultdict(list)
+    where: dict[object, list[int]] = defaultdict(list)
     for j in range(len(b) - 1, -1, -1):
         where[b[j]].append(j)
     tops: list[int] = []
@@ -162,18 +180,37 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[tuple[int, str]], near: list[list[str]]) -> str:
-    """The page's text, from its blocks and the open lines of its neighbours, the nearest first."""
-    main = [line for zone, line in own if zone == MAIN]
+def has_main(own: list[tuple[int, str]]) -> bool:
+    """Whether article or main hold the page's text: what is outside is at most twice as long."""
+    size = [0, 0, 0]
+    for zone, line in own:
+        size[zone] += len(line)
+    return 0 < size[MAIN] and size[OPEN] <= 2 * size[MAIN]
+
+
+def content(own: list[tuple[int, str]]) -> list[str]:
+    """The lines of a page that may be its text."""
+    if has_main(own):
+        return [line for zone, line in own if zone == MAIN]
+    return [line for zone, line in own if zone == OPEN]
+
+
+def template_lines(lines: list, sizes: list[int], main: bool, near: list[list], frequent: set) -> set[int]:
+    """Places of the lines (or their hashes) that go, given those of the neighbours, the nearest first."""
     if main:
-        return "\n".join(main)
-    lines = [line for zone, line in own if zone == OPEN]
-    size = sum(map(len, lines))
+        return {i for other in near for i in shared_lines(lines, other) if lines[i] in frequent}
     for other in near:
         gone = shared_lines(lines, other)
-        if 2 * sum(len(lines[i]) for i in gone) < size:
-            return "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return "\n".join(lines)
+        if 2 * sum(sizes[i] for i in gone) < sum(sizes):
+            return gone
+    return set()
+
+
+def main_text(own: list[tuple[int, str]], near: list[list[str]], frequent: set[str] = frozenset()) -> str:
+    """The text of a page, from its blocks, the lines of its neighbours and the lines that many pages of its host hold."""
+    lines = content(own)
+    gone = template_lines(lines, list(map(len, lines)), has_main(own), near, frequent)
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone)
 
 
 def _common(a: str, b: str) -> int:
@@ -206,7 +243,7 @@ def _nearest(parsed: DataFrame) -> DataFrame:
     )
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", often: float = 0.5) -> DataFrame:
     """One row per input row: ``id_col``, ``url_col``, text, n_chars (code points)."""
     spark = pages.sparkSession
     small_batches(spark, 64)
@@ -215,37 +252,55 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("host", F.lower(F.substring_index(bare, "/", 1))).withColumn("path", F.regexp_replace(bare, r"^[^/]*|/$|\.html?$", ""))
     rows = rows.withColumn("h", F.xxhash64("html")).withColumn("key", F.xxhash64("host", "path", "id", "h"))
     kind = dict(pages.dtypes)[id_col]
-    lines_of = pa.list_(pa.string())
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, open_ = [], []
-        for page in batch.column(6).to_pylist():
+        lines, sizes, main = [], [], []
+        for page in batch.column(5).to_pylist():
             own = blocks(page)
-            texts.append(main_text(own, []) if any(z == MAIN for z, _ in own) else None)
-            open_.append([x for z, x in own if z == OPEN])
-        return pa.record_batch([*batch.columns[:6], pa.array(texts, pa.string()), pa.array(open_, lines_of)], names=["id", "url", "host", "path", "h", "key", "text", "lines"])
+            held = content(own)
+            lines.append([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in held])
+            sizes.append(list(map(len, held)))
+            main.append(has_main(own))
+        return pa.record_batch([*batch.columns[:5], pa.array(main), pa.array(lines, longs), pa.array(sizes, ints)], names=["id", "host", "path", "h", "key", "main", "lines", "sizes"])
 
+    found = map_arrow(rows.select("id", "host", "path", "h", "key", "html"), parse, f"id {kind}, host string, path string, h long, key long, main boolean, lines array<long>, sizes array<int>")
     path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
-    map_arrow(rows.select("id", "url", "host", "path", "h", "key", "html"), parse, f"id {kind}, url string, host string, path string, h long, key long, text string, lines array<string>").write.parquet(path)
+    found.filter("host IS NOT NULL").write.parquet(path)
     parsed = spark.read.parquet(path)
-    done = parsed.filter("text IS NOT NULL").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
-    others = parsed.filter("text IS NULL")
-    if others.isEmpty():
-        return done
 
-    near = cut(_nearest(parsed).join(others.select("host", "path").distinct(), ["host", "path"]))
+    many = parsed.groupBy("host").agg(F.count("*").alias("n"))
+    held = parsed.filter("main").select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    frequent = held.filter("n >= 5").join(many.withColumnRenamed("n", "pages"), "host").filter(F.col("n") >= often * F.col("pages"))
+    frequent = frequent.groupBy("host").agg(F.collect_list("line").alias("frequent"))
+    near = cut(_nearest(parsed).join(frequent, "host", "left"))
     keys = near.select(F.col("k1").alias("key")).unionByName(near.select(F.col("k2").alias("key"))).distinct()
-    lines = parsed.select("key", "lines").join(keys, "key").dropDuplicates(["key"])
+    lines = cut(parsed.select("key", "lines").join(keys, "key").dropDuplicates(["key"]))
     near = near.join(lines.select(F.col("key").alias("k1"), F.col("lines").alias("l1")), "k1", "left").join(lines.select(F.col("key").alias("k2"), F.col("lines").alias("l2")), "k2", "left")
-    joined = others.join(near.select("host", "path", "before", "l1", "after", "l2"), ["host", "path"], "left").select("id", "url", "path", "lines", "before", "l1", "after", "l2")
+    compared = parsed.join(near.select("host", "path", "before", "l1", "after", "l2", "frequent"), ["host", "path"]).select("key", "path", "lines", "sizes", "main", "before", "l1", "after", "l2", "frequent")
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, gone = [], []
+        for key, own_path, own, sizes, main, before, l1, after, l2, often_held in zip(*(c.to_pylist() for c in batch.columns)):
+            others = [(p, x) for p, x in ((before, l1), (after, l2)) if p is not None]
+            others.sort(key=lambda x: -_common(x[0], own_path))
+            places = template_lines(own, sizes, main, [x for _, x in others], set(often_held or ()))
+            if places:
+                keys.append(key)
+                gone.append(sorted(places))
+        return pa.record_batch([pa.array(keys, pa.int64()), pa.array(gone, ints)], names=["key", "gone"])
+
+    templates = cut(map_arrow(compared, settle, "key long, gone array<int>").dropDuplicates(["key"]))
+    buckets = templates.select(bucket(18, F.col("key")).alias("bucket")).distinct().withColumn("near", F.lit(True))
+    marked = rows.select("id", "url", "key", "html").withColumn("bucket", bucket(18, F.col("key"))).join(F.broadcast(buckets), "bucket", "left")
+    quiet = marked.filter("near IS NULL").select("id", "url", "html", F.lit(None).cast("array<int>").alias("gone"))
+    rest = marked.filter("near").join(templates, "key", "left").select("id", "url", "html", "gone")
+
+    def settle_text(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for own_path, own, before, l1, after, l2 in zip(*(c.to_pylist() for c in batch.columns[2:])):
-            found = [(p, x) for p, x in ((before, l1), (after, l2)) if p is not None]
-            found.sort(key=lambda x: -_common(x[0], own_path))
-            texts.append(main_text([(OPEN, x) for x in own], [x for _, x in found]))
+        for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            out = set(gone or ())
+            texts.append("\n".join(x for i, x in enumerate(content(blocks(page))) if i not in out))
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    rest = map_arrow(joined, settle, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
-    return done.unionByName(rest)
+    return map_arrow(quiet.unionByName(rest), settle_text, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

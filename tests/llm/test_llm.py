@@ -453,6 +453,36 @@ def test_html_rules():
     assert html_extract.blocks("a < b and 1 > 0") == [(0, "a < b and 1 > 0")]
 
 
+def test_marks_are_whole_tokens_and_articles_count():
+    text_of_page = lambda page: html_extract.main_text(html_extract.blocks(page), [])
+    assert text_of_page('<main class="content with-sidebar"><p>Real article text.</p></main>') == "Real article text."
+    assert text_of_page('<article class="post has-share-buttons"><p>One</p></article>') == "One"
+    assert text_of_page('<article aria-label="Search engines explained"><p>One</p></article>') == "One"
+    assert text_of_page("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>") == "Let x=1 be"
+    assert text_of_page(f'<article class=card><p>Teaser</p></article><div id=content><p>{"The story is long. " * 9}</p></div>') == ("The story is long. " * 9).strip()
+    assert text_of_page('<article><p>A</p><article class="comment"><p>Reader</p></article><div class="comment-list"><p>x</p></div></article>') == "A"
+    assert text_of_page("<article><p>" + "long " * 1_000_000 + "</p></article>") == ("long " * 1_000_000).strip()
+
+
+def test_template_lines_within_articles_go_and_quotes_stay(spark):
+    rows, want = [], {}
+    for k in range(40):
+        quote = "<p>A quote that three pages hold" if k in (11, 12, 13) else ""
+        rows.append((k, f"http://h.com/n/{k:02d}", f"<article><p>Subscribe to our letter<p>Own text number {k}{quote}<p>All rights</article>"))
+        want[k] = f"Own text number {k}" + ("\n" + quote[3:] if quote else "")
+    rows += [(50 + k, f"http://small.com/{k}", "<article><p>Said twice<p>own</article>") for k in range(3)] + [(60, "http://h.com/n/11", rows[11][2]), (60, "http://h.com/n/11", rows[11][2])]
+    want |= {50 + k: "Said twice\nown" for k in range(3)} | {60: want[11]}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = html_extract.extract(df).collect()
+            assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
