@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +58,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced."""
-    return pii.surrogates(table(spark, sf_dir, "documents"))
+    """Every document with its personal data replaced, under the key of the setting spark.millrace.pii.key or one that nobody keeps."""
+    return pii.surrogates(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.millrace.pii.key", None) or secrets.token_hex(32))
 
 
 def op10_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
