@@ -13,9 +13,10 @@ MUTATIONS = [
 ]
 # Local model servers; words that a query's terms leave out.
 LOCAL = ["ollama", "lm-studio", "llama.cpp", "localhost", "llamacpp"]
-STOPWORDS = (
-    "the and for with that this from have are was you your can what how why all any not but please now then them they its his her out use"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "with", "that", "this", "from", "have", "are", "was", "you", "your", "can", "what", "how",
+    "why", "all", "any", "not", "but", "please", "now", "then", "them", "they", "its", "his", "her", "out", "use",
+]
 # Where a text names its file, in order.
 FILENAMES = [
     r"(?im)^(?:File|Path|Filename|Reading):\s*(.+\.\w+)",
@@ -51,8 +52,9 @@ def concept_key(query: Column) -> Column:
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct words of three letters or more that are no stopwords."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) >= 3)
+    """Distinct words and paths of three characters or more that are no stopwords, in order; reminder blocks don't count."""
+    said = F.regexp_replace(F.lower(text), r"(?s)<system-reminder>.*?</system-reminder>", "")
+    words = F.filter(F.split(said, "[^a-z0-9_./-]+"), lambda t: F.length(t) >= 3)
     return F.array_sort(F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS])))
 
 

@@ -75,7 +75,7 @@ CONTENT: dict[str, dict[str, list[str]]] = {
     "json": {
         "strong": [r'^[\s\n]*\{\s*"\w+":', r"^[\s\n]*\[\s*\{", r'^[\s\n]*\[\s*"[^"]*"\s*[,\]]'],
         "weak": [r":\s*\[", r":\s*\{", r'"(\w+)":', r"true\b", r"false\b", r"null\b"],
-        "penalty": [r"\bfunction\s+\w+\s*\(", r"\bconst\s+\w+\s*=\s*[^\"'\d{\[\s]", r"\bimport\s+\{[^}]+\}\s+from\s+['\"]", r"=>\s*\{", r"\bclass\s+\w+"],
+        "penalty": [r"\bfunction\s+\w+\s*\(", r"\bconst\s+\w+\s*=([^\"'\d{\[]|\z)", r"\bimport\s+\{[^}]+\}\s+from\s+['\"]", r"=>\s*\{", r"\bclass\s+\w+"],
     },
     "code": {
         "strong": [
@@ -113,7 +113,7 @@ CONTENT: dict[str, dict[str, list[str]]] = {
     },
     "diff": {
         "strong": [r"(?m)^diff --git\s", r"(?m)^@@\s+-\d+,\d+\s+\+\d+,\d+ @@", r"(?m)^--- a/.+\n\+\+\+ b/.+"],
-        "weak": [r"(?m)^\+([^+\n]|\+[^+\n])", r"(?m)^-([^-\n]|-[^-\n])", r"(?m)^@@\s+"],
+        "weak": [r"(?m)^\+([^+\n]|\+([^+]|\z))", r"(?m)^-([^-\n]|-([^-]|\z))", r"(?m)^@@\s+"],
         "penalty": [r"(?m)^#{1,6} ", r"(?m)^(import|export|const)\s+"],
     },
     "markdown": {
@@ -136,12 +136,12 @@ def intent_scores(text: Column) -> dict[str, Column]:
 
 
 def intent(text: Column) -> tuple[Column, Column, Column]:
-    """(winner, its score, confidence): the margin over the runner-up as a share of the winner's score."""
+    """(winner, its score, confidence): CHAT without any signal; confidence is the margin over the runner-up as a share of the winner's score."""
     scores = intent_scores(text)
     ranked = F.array_sort(F.array(*[F.struct((-scores[i]).alias("s"), F.lit(k).alias("k"), F.lit(i).alias("i")) for k, i in enumerate(INTENT_ORDER)]))
     best, second = ranked[0], ranked[1]
     confidence = F.when(best["s"] == 0, 0.0).otherwise((second["s"] - best["s"]) / -best["s"])
-    return best["i"], -best["s"], confidence
+    return F.when(best["s"] == 0, "CHAT").otherwise(best["i"]), -best["s"], confidence
 
 
 def is_status(text: Column) -> Column:

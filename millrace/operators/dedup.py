@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +54,9 @@ def threshold(length: Column) -> Column:
 
 def near_in_key(rows: DataFrame, keys: list[str], order: list[str], fp: str, length: str, least: int = 500) -> DataFrame:
     """Rows that are near copies of the newest row of their key: adds newest (its order value) and distance."""
-    w = Window.partitionBy(*keys)
-    newest = F.max(F.struct(*order, fp, length)).over(w)
-    seen = rows.withColumn("_new", newest)
+    newest = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct(*order, fp, length)).alias("_new"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    seen = rows.join(newest, same).drop(*[f"_{k}" for k in keys])
     d = F.bit_count(F.col(fp).bitwiseXOR(F.col("_new")[fp]))
     near = (F.col(order[-1]) != F.col("_new")[order[-1]]) & (F.col(length) >= least) & (F.col("_new")[length] >= least) & (d <= threshold(F.col(length)))
     return seen.withColumns({"newest": F.col("_new")[order[-1]], "distance": d}).filter(near).drop("_new")

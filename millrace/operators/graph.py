@@ -59,3 +59,12 @@ def neighbourhood(edges: DataFrame, symbol: str, most: int = 3) -> DataFrame:
         sides.append(found)
     ranked = sides[0].unionByName(sides[1]).withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy("symbol")))
     return ranked.filter(F.col("k") <= most).drop("k")
+
+
+def candidate_score(name: Column, asked: Column, preferred: Column, exported: Column, complexity: Column, fuzzy: Column) -> Column:
+    """How well a candidate answers a query (in lower case): match of the name, index that the kind of query prefers, export, complexity; guesses lose."""
+    low = F.lower(name)
+    match = F.when(low == asked, 1.0).when(F.startswith(low, asked), 0.7).when(F.contains(low, asked), 0.5).otherwise(0.2)
+    bonus = F.when(preferred, 0.15).otherwise(0.0) + F.when(exported, 0.05).otherwise(0.0)
+    depth = F.when(complexity > 0, F.least(F.lit(0.1), F.log(complexity + 1) * 0.03)).otherwise(0.0)
+    return F.least(F.lit(2.0), match + bonus + depth - F.when(fuzzy, 0.15).otherwise(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..functions import signals
+from ..functions import policy, signals
 from ..functions.text import char_tokens, short_hash
 from ..sources.tables import table
 from .registry import query
@@ -80,6 +80,16 @@ def message_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("conv_id", "turn", origin.alias("origin"))
 
 
+#: Messages that fire the signals of each intent, ties and none.
+PROBES = [
+    "Rename the helper instead of copying it", "fix typo in the heading", "Please refactor this and convert it", "update this function", "modify or tweak it", "wrap it", "remove the old flag", "clean up the module",
+    "add a field", "fix bug in the login", "fix the database", "why is it slow", "the page is not working", "it throws an exception", "debug and trace it", "the handler is not being called, a memory leak",
+    "what's wrong here", "it returns null", "make it better", "find the place where is the route", "which file holds it", "what does it depend on internally", "what imports this", "what exports this symbol",
+    "where is it defined", "create a scaffold", "build and implement it", "make a shiny new thing", "new module please", "explain and describe it", "translate this; how does it run", "tell me about it", "ok thanks, done",
+    "looks good, never mind", "fix bug and create a file", "find and create", "", "12345", "EXPLAIN WHY IS IT BROKEN",
+]
+
+
 def _intent_sql() -> str:
     parts = {i: [] for i in signals.INTENT_ORDER}
     for intent, weight, pattern, longest in signals.INTENTS:
@@ -87,16 +97,21 @@ def _intent_sql() -> str:
         parts[intent].append(f"CASE WHEN {cond} THEN {weight} ELSE 0 END")
     sums = ", ".join(f"{' + '.join(v)} AS s_{k.lower()}" for k, v in parts.items())
     ranks = " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS intent, s_{k.lower()} AS s, {n} AS k FROM f" for n, k in enumerate(signals.INTENT_ORDER))
-    return f"""WITH {MESSAGES_SQL}, f AS (SELECT conv_id, turn, {sums} FROM m WHERE role = 'user'), u AS ({ranks}),
+    probes = ", ".join(map(signals.sql_literal, PROBES))
+    return f"""WITH {MESSAGES_SQL}, q AS (SELECT conv_id, turn, text FROM m WHERE role = 'user' UNION ALL SELECT -1, n - 1, t FROM (SELECT unnest([{probes}]) AS t, generate_subscripts([{probes}], 1) AS n)),
+    f AS (SELECT conv_id, turn, {sums} FROM q), u AS ({ranks}),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, k) AS n FROM u),
     p AS (SELECT conv_id, turn, max(CASE WHEN n = 1 THEN intent END) AS intent, max(CASE WHEN n = 1 THEN s END) AS w, max(CASE WHEN n = 2 THEN s END) AS x FROM r GROUP BY ALL)
-    SELECT conv_id, turn, intent, w::BIGINT AS score, round(CASE WHEN w = 0 THEN 0 ELSE (w - x) / w::DOUBLE END, 6) AS confidence FROM p"""
+    SELECT conv_id, turn, CASE WHEN w > 0 THEN intent ELSE 'CHAT' END AS intent, w::BIGINT AS score, round(CASE WHEN w = 0 THEN 0 ELSE (w - x) / w::DOUBLE END, 6) AS confidence FROM p"""
 
 
 @query("intent", _intent_sql())
 def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, score, confidence = signals.intent(F.col("text"))
-    return messages(spark, sf_dir).filter("role = 'user'").select("conv_id", "turn", name.alias("intent"), score.cast("long").alias("score"), F.round(confidence, 6).alias("confidence"))
+    like = table(spark, sf_dir, "conversations").select("conv_id", "turn").schema
+    probes = spark.createDataFrame([(-1, k, t) for k, t in enumerate(PROBES)], f"conv_id {like['conv_id'].dataType.simpleString()}, turn {like['turn'].dataType.simpleString()}, text string")
+    users = messages(spark, sf_dir).filter("role = 'user'").select("conv_id", "turn", "text").unionByName(probes)
+    return users.select("conv_id", "turn", name.alias("intent"), score.cast("long").alias("score"), F.round(confidence, 6).alias("confidence"))
 
 
 @query(
@@ -119,13 +134,27 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "pressure",
     f"""WITH {MESSAGES_SQL}, t AS (SELECT conv_id, sum(4 + ceil(length(text) / 4))::BIGINT AS tokens FROM m GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN tokens >= 1500 THEN 'high' WHEN tokens >= 500 THEN 'medium' ELSE 'low' END AS pressure, CASE WHEN tokens >= 1500 THEN 1 WHEN tokens >= 500 THEN 2 ELSE 3 END AS keep_recent FROM t""",
+    SELECT conv_id, CASE WHEN tokens < 500 THEN 'low' WHEN tokens < 1500 THEN 'medium' ELSE 'high' END AS pressure, CASE WHEN tokens < 500 THEN 3 WHEN tokens < 1500 THEN 2 ELSE 1 END AS keep_recent FROM t""",
 )
 def pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thresholds are parameters; conversations here are short, so are they."""
-    t = token_counts(spark, sf_dir)
-    pick = lambda a, b, c: F.when(F.col("tokens") >= 1500, a).when(F.col("tokens") >= 500, b).otherwise(c)
-    return t.select("conv_id", pick("high", "medium", "low").alias("pressure"), pick(1, 2, 3).alias("keep_recent"))
+    """Conversations here are short, so the bounds that are passed are lower than the defaults."""
+    level = policy.pressure(F.col("tokens"), medium=500, high=1500)
+    return token_counts(spark, sf_dir).select("conv_id", level.alias("pressure"), policy.setting(level, F.lit(False), "keep_recent").alias("keep_recent"))
+
+
+@query(
+    "compression_policy",
+    f"""WITH {MESSAGES_SQL}, t AS (SELECT conv_id, sum(4 + ceil(length(text) / 4))::BIGINT AS tokens FROM m GROUP BY conv_id),
+    p AS (SELECT conv_id, conv_id % 2 = 0 AS local, CASE WHEN tokens < 500 THEN 'low' WHEN tokens < 1500 THEN 'medium' ELSE 'high' END AS pressure FROM t),
+    s(pressure, local, compress, keep_recent, least_lines, vault_at, body_lines) AS (VALUES ('low', true, false, 3, 120, 100000, 8), ('low', false, true, 3, 60, 60000, 6), ('medium', true, true, 2, 60, 60000, 4),
+      ('medium', false, true, 2, 40, 30000, 4), ('high', true, true, 1, 30, 24000, 3), ('high', false, true, 1, 30, 16000, 2))
+    SELECT conv_id, pressure, local, compress, keep_recent, least_lines, vault_at, body_lines FROM p JOIN s USING (pressure, local)""",
+)
+def compression_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings of each conversation's pressure and upstream."""
+    level = policy.pressure(F.col("tokens"), medium=500, high=1500)
+    rows = token_counts(spark, sf_dir).select("conv_id", level.alias("pressure"), (F.col("conv_id") % 2 == 0).alias("local"))
+    return rows.select("conv_id", "pressure", "local", *[policy.setting(F.col("pressure"), F.col("local"), k).alias(k) for k in policy.SETTINGS])
 
 
 @query(
@@ -176,7 +205,8 @@ def retrieve_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compression_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precedence of the compression gate, with bypass and disabled clients taken from the conversation's number."""
     t = messages(spark, sf_dir).groupBy("conv_id").agg(F.sum(4 + char_tokens(F.col("text"))).alias("tokens"), F.bool_or(F.expr("is_tool AND length(text) > 100")).alias("compressible"))
-    decision = F.expr("CASE WHEN conv_id % 11 = 0 THEN 'bypass' WHEN conv_id % 13 = 0 THEN 'disabled' WHEN tokens = 0 THEN 'empty' WHEN tokens < 200 THEN 'small' ELSE 'compress' END")
+    c = F.col
+    decision = policy.decision(bypass=c("conv_id") % 11 == 0, disabled=c("conv_id") % 13 == 0, tokens=c("tokens"), least=200)
     return t.select("conv_id", decision.alias("decision"), "compressible")
 
 

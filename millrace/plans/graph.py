@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
@@ -56,7 +56,8 @@ ORDER = "is_exported DESC, complexity DESC, file_path, start_line"
 
 
 def _name(spark: SparkSession, sf_dir: str, key: int = 7) -> str:
-    return table(spark, sf_dir, "part").filter(F.col("p_partkey") == key).select("p_name").first()[0]
+    row = table(spark, sf_dir, "part").filter(F.col("p_partkey") == key).select("p_name").first()
+    return row[0] if row else ""
 
 
 @query("find_symbol", f"WITH {NODES_SQL} SELECT node_id, file_path, kind, start_line, is_exported, is_async, complexity FROM nodes WHERE name = {FIRST}")
@@ -170,18 +171,18 @@ def innermost_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.innermost(points, nodes(spark, sf_dir), "file_path", "line", "start_line", "end_line", "name").filter("container IS NOT NULL")
 
 
-@query("node_at_line", f"WITH {NODES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path, start_line ORDER BY name) AS k FROM nodes) SELECT file_path, start_line, name FROM r WHERE k = 1 AND start_line % 10 = 7")
+@query("node_at_line", f"WITH {NODES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path, start_line ORDER BY name) AS k FROM nodes) SELECT file_path, start_line, name FROM r WHERE k = 1")
 def node_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One node for each (file, line) asked for."""
-    asked = nodes(spark, sf_dir).filter("start_line % 10 = 7")
-    return asked.groupBy("file_path", "start_line").agg(F.min("name").alias("name"))
+    """One node for each file and line."""
+    return nodes(spark, sf_dir).groupBy("file_path", "start_line").agg(F.min("name").alias("name"))
 
 
 @query("refs_in_function", f"WITH {LITERALS_SQL} SELECT containing_fn, file_path, list(value ORDER BY start_line)[1:10] AS vals FROM literals GROUP BY ALL")
 def refs_in_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten literals of each function."""
-    grouped = literals(spark, sf_dir).groupBy("containing_fn", "file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "value"))).alias("v"))
-    return grouped.select("containing_fn", "file_path", F.slice(F.transform("v", lambda x: x["value"]), 1, 10).alias("vals"))
+    """The first ten literals of each function, ranked before they are gathered."""
+    rank = F.row_number().over(Window.partitionBy("containing_fn", "file_path").orderBy("start_line", "value"))
+    first = literals(spark, sf_dir).withColumn("k", rank).filter("k <= 10").groupBy("containing_fn", "file_path").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("v"))
+    return first.select("containing_fn", "file_path", F.transform("v", lambda x: x["value"]).alias("vals"))
 
 
 @query("embeddable_nodes", f"WITH {NODES_SQL} SELECT node_id, kind FROM nodes WHERE kind IN ('STANDARD', 'SMALL', 'ECONOMY', 'PROMO') AND NOT starts_with(name, '__module_')")
@@ -204,20 +205,92 @@ def call_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(edges(spark, sf_dir), "s8")
 
 
+CANDIDATES_SQL = f"""q AS (SELECT lower(split_part(p_name, ' ', 1)) AS q FROM part WHERE p_partkey = 7),
+ c AS (SELECT 'symbol' AS type, name, file_path, start_line AS line, kind, is_exported, complexity::DOUBLE AS complexity FROM nodes UNION ALL SELECT 'literal', value, file_path, start_line, kind, false, 0 FROM literals
+   UNION ALL SELECT 'env_var', key, file_path, 0, raw_text, false, 0 FROM config),
+ s AS (SELECT c.*, least(2.0, CASE WHEN lower(name) = q THEN 1.0 WHEN starts_with(lower(name), q) THEN 0.7 WHEN contains(lower(name), q) THEN 0.5 ELSE 0.2 - 0.15 END
+   + CASE WHEN type = 'symbol' THEN 0.15 ELSE 0 END + CASE WHEN is_exported THEN 0.05 ELSE 0 END + CASE WHEN complexity > 0 THEN least(0.1, 0.03 * ln(complexity + 1)) ELSE 0 END) AS score FROM c, q)"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols, literals and settings, scored for the first word of a part's name; the query is one row."""
+    c = F.col
+    none = [F.lit(False).alias("is_exported"), F.lit(0.0).alias("complexity")]
+    found = nodes(spark, sf_dir).select(F.lit("symbol").alias("type"), "name", "file_path", c("start_line").alias("line"), "kind", "is_exported", c("complexity").cast("double").alias("complexity"))
+    found = found.unionByName(literals(spark, sf_dir).select(F.lit("literal").alias("type"), c("value").alias("name"), "file_path", c("start_line").alias("line"), "kind", *none))
+    found = found.unionByName(config(spark, sf_dir).select(F.lit("env_var").alias("type"), c("key").alias("name"), "file_path", F.lit(0).alias("line"), c("raw_text").alias("kind"), *none))
+    asked = table(spark, sf_dir, "part").filter("p_partkey = 7").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("q"))
+    found = found.crossJoin(F.broadcast(asked))
+    fuzzy = ~F.contains(F.lower("name"), c("q"))
+    return found.withColumn("score", graph.candidate_score(c("name"), c("q"), c("type").isin("symbol"), c("is_exported"), c("complexity"), fuzzy)).drop("q")
+
+
+@query("candidate_scores", f"WITH {NODES_SQL}, {LITERALS_SQL}, {CONFIG_SQL}, {CANDIDATES_SQL} SELECT type, name, file_path, line, round(score, 6) AS score FROM s")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name match, preferred index, export, complexity and the fuzzy penalty, summed and capped."""
+    return candidates(spark, sf_dir).select("type", "name", "file_path", "line", F.round("score", 6).alias("score"))
+
+
 @query(
-    "candidate_scores",
-    f"""WITH {NODES_SQL}, s AS (SELECT node_id, least(2, CASE WHEN name = {FIRST} THEN 1.0 WHEN starts_with(lower(name), lower(substr({FIRST}, 1, 4))) THEN 0.7 WHEN contains(lower(name), lower(substr({FIRST}, 1, 4))) THEN 0.5 ELSE 0.2 END
-      + CASE WHEN kind = 'STANDARD' THEN 0.15 ELSE 0 END + CASE WHEN is_exported THEN 0.05 ELSE 0 END + least(0.1, 0.03 * ln(complexity + 1))) AS score FROM nodes)
-    SELECT node_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, node_id LIMIT 15""",
+    "resolve",
+    f"""WITH {NODES_SQL}, {LITERALS_SQL}, {CONFIG_SQL}, {CANDIDATES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY name, file_path, line, kind ORDER BY CASE type WHEN 'symbol' THEN 0 WHEN 'env_var' THEN 1 ELSE 2 END) AS n FROM s),
+    p AS (SELECT * FROM k WHERE n = 1 AND (type = 'symbol' OR NOT EXISTS (SELECT 1 FROM s, q WHERE type = 'symbol' AND lower(name) = q)))
+    SELECT type, name, file_path, line, round(score, 6) AS score, round(least(score / 1.15, 1.0), 6) AS confidence FROM p ORDER BY p.score DESC, type DESC, name, file_path, line LIMIT 10""",
 )
-def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name match, kind, export and complexity, summed and capped."""
-    name = _name(spark, sf_dir)
-    head = name[:4].lower()
-    match = F.when(F.col("name") == name, 1.0).when(F.startswith(F.lower("name"), F.lit(head)), 0.7).when(F.contains(F.lower("name"), F.lit(head)), 0.5).otherwise(0.2)
-    extra = F.when(F.col("kind") == "STANDARD", 0.15).otherwise(0.0) + F.when(F.col("is_exported"), 0.05).otherwise(0.0) + F.least(F.lit(0.1), F.log(F.col("complexity") + 1) * 0.03)
-    scored = nodes(spark, sf_dir).select("node_id", F.least(F.lit(2.0), match + extra).alias("score"))
-    return scored.orderBy(F.desc("score"), "node_id").limit(15).select("node_id", F.round("score", 6).alias("score"))
+def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary index always, the others unless it has an exact hit; equal (name, file, line, kind) once; the ten best."""
+    scored = candidates(spark, sf_dir)
+    asked = table(spark, sf_dir, "part").filter("p_partkey = 7").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("q"))
+    exact = nodes(spark, sf_dir).join(F.broadcast(asked), F.lower("name") == F.col("q"), "left_semi").agg((F.count("*") > 0).alias("exact"))
+    rank = F.when(F.col("type") == "symbol", 0).when(F.col("type") == "env_var", 1).otherwise(2)
+    once = scored.groupBy("name", "file_path", "line", "kind").agg(F.min_by(F.struct("type", "score"), rank).alias("b")).select("name", "file_path", "line", "b.*")
+    open_ = once.crossJoin(F.broadcast(exact)).filter("type = 'symbol' OR NOT exact")
+    best = open_.orderBy(F.desc("score"), F.desc("type"), "name", "file_path", "line").limit(10)
+    return best.select("type", "name", "file_path", "line", F.round("score", 6).alias("score"), F.round(F.least(F.col("score") / 1.15, F.lit(1.0)), 6).alias("confidence"))
+
+
+@query(
+    "nodes_with_summaries",
+    f"""WITH {NODES_SQL}, summaries AS (SELECT ps_partkey AS start_line, count(*) AS suppliers, min(ps_suppkey) AS first_supplier FROM (SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem) GROUP BY ps_partkey)
+    SELECT node_id, file_path, coalesce(suppliers, 0) AS suppliers, first_supplier FROM nodes LEFT JOIN summaries USING (start_line)""",
+)
+def nodes_with_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with what is known of it, or none."""
+    known = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("start_line")).agg(F.count_distinct("l_suppkey").alias("suppliers"), F.min("l_suppkey").alias("first_supplier"))
+    return nodes(spark, sf_dir).join(known, "start_line", "left").select("node_id", "file_path", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), "first_supplier")
+
+
+@query(
+    "literals_with_nodes",
+    f"""WITH {NODES_SQL}, {LITERALS_SQL}, n AS (SELECT split_part(node_id, ':', 1) || ':' || split_part(node_id, ':', 2) AS fn, file_path, name FROM nodes)
+    SELECT l.file_path, l.start_line, l.value, n.name AS within FROM literals l LEFT JOIN n ON n.fn = l.containing_fn AND n.file_path = l.file_path""",
+)
+def literals_with_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every literal with the node that contains it, if the file has that node."""
+    fn = F.concat_ws(":", F.split_part("node_id", F.lit(":"), F.lit(1)), F.split_part("node_id", F.lit(":"), F.lit(2)))
+    n = nodes(spark, sf_dir).select(fn.alias("containing_fn"), "file_path", F.col("name").alias("within"))
+    return literals(spark, sf_dir).join(n, ["containing_fn", "file_path"], "left").select("file_path", "start_line", "value", "within")
+
+
+@query(
+    "body_budget",
+    f"""WITH {NODES_SQL}, q AS (SELECT lower(split_part(p_name, ' ', 1)) AS q FROM part WHERE p_partkey = 7),
+    r AS (SELECT file_path, name, start_line, CASE WHEN lower(name) = q THEN 0 WHEN starts_with(lower(name), q) THEN 1 WHEN contains(lower(name), q) THEN 2 ELSE 3 END AS rank FROM nodes, q),
+    k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY rank, start_line, name) AS n FROM r) SELECT file_path, name, rank FROM k WHERE n <= 3""",
+)
+def body_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each file the three symbols whose names match best are shown with their bodies."""
+    asked = table(spark, sf_dir, "part").filter("p_partkey = 7").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("q"))
+    low = F.lower("name")
+    rank = F.when(low == F.col("q"), 0).when(F.startswith(low, F.col("q")), 1).when(F.contains(low, F.col("q")), 2).otherwise(3)
+    rows = nodes(spark, sf_dir).crossJoin(F.broadcast(asked)).withColumn("rank", rank)
+    best = F.row_number().over(Window.partitionBy("file_path").orderBy("rank", "start_line", "name"))
+    return rows.withColumn("n", best).filter("n <= 3").select("file_path", "name", "rank")
+
+
+@query("top_complexity", f"WITH {NODES_SQL} SELECT node_id, complexity FROM nodes ORDER BY complexity DESC, node_id LIMIT 5")
+def top_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir).orderBy(F.desc("complexity"), "node_id").limit(5).select("node_id", "complexity")
 
 
 @query("calls_known_symbols", f"WITH {EDGES_SQL} SELECT relation, count(*) AS known FROM edges WHERE target_symbol IN (SELECT source_symbol FROM edges) GROUP BY relation")

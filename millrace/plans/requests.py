@@ -87,14 +87,22 @@ def concept_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", rq.concept_key(q).alias("key"))
 
 
+_STOP_SQL = ", ".join(sql_literal(w) for w in rq.STOPWORDS)
+
+
 @query(
     "query_terms",
-    f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(f"'{w}'" for w in rq.STOPWORDS)})) AS t FROM conversations WHERE role = 'user')
-    SELECT conv_id, turn, array_to_string(list_sort(list_distinct(t)), ' ') AS terms FROM w""",
+    f"""WITH u AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 4 WHEN 0 THEN ' See src/app-' || conv_id || '.js, then <System-Reminder>never' || chr(10) || 'said</system-reminder> a_b' ELSE '' END AS text FROM conversations WHERE role = 'user'),
+    w AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '(?s)<system-reminder>.*?</system-reminder>', '', 'g'), '[^a-z0-9_./-]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP_SQL})))) AS t FROM u),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM w WHERE len(t) > 0)
+    SELECT conv_id, turn, array_to_string(t, ' ') AS terms FROM r WHERE k = 1""",
 )
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return users.select("conv_id", "turn", F.array_join(rq.query_terms(F.coalesce("text", F.lit(""))), " ").alias("terms"))
+    """The terms of each conversation's last user text that has any; some texts get a path and a reminder block."""
+    more = F.concat(F.lit(" See src/app-"), F.col("conv_id").cast("string"), F.lit(".js, then <System-Reminder>never\nsaid</system-reminder> a_b"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 4 == 0, more).otherwise(F.lit("")))
+    users = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", rq.query_terms(text).alias("t")).filter("size(t) > 0")
+    return users.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.array_join(F.max_by("t", "turn"), " ").alias("terms"))
 
 
 def _file_sql() -> str:

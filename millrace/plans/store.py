@@ -34,9 +34,8 @@ def vault_put_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vault_by_hash", f"WITH {VAULT_SQL} SELECT content_hash, length(text) AS chars FROM vault WHERE content_hash = (SELECT substr(sha256(text), 1, 16) FROM documents WHERE doc_id = 3)")
 def vault_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    wanted = docs.filter("doc_id = 3").select(short_hash(F.col("text"))).first()[0]
-    found = docs.select(short_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("chars")).filter(F.col("content_hash") == wanted)
-    return found.distinct()
+    wanted = docs.filter("doc_id = 3").select(short_hash(F.col("text")).alias("content_hash"))
+    return docs.select(short_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("chars")).join(wanted, "content_hash", "left_semi").distinct()
 
 
 @query("vault_metadata", f"WITH {VAULT_SQL} SELECT count(*) AS entries, sum(n)::BIGINT AS puts, sum(ceil(length(text) / 4))::BIGINT AS tokens FROM vault")
@@ -54,8 +53,10 @@ def vault_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dup_keep_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts of one key, the newest; texts under 100 characters don't take part."""
     docs = table(spark, sf_dir, "documents").filter("length(text) >= 100").select("doc_id", "source", "lang", F.sha2("text", 256).alias("h"))
-    newest = F.max("doc_id").over(Window.partitionBy("source", "lang", "h"))
-    return docs.select("doc_id", (F.col("doc_id") == newest).alias("kept"))
+    newest = docs.groupBy("source", "lang", "h").agg(F.max("doc_id").alias("newest"))
+    d, n = docs.alias("d"), newest.alias("n")
+    same = (F.col("d.h") == F.col("n.h")) & F.col("d.source").eqNullSafe(F.col("n.source")) & F.col("d.lang").eqNullSafe(F.col("n.lang"))
+    return d.join(n, same).select("d.doc_id", (F.col("d.doc_id") == F.col("newest")).alias("kept"))
 
 
 FP_SQL = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), f AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
@@ -94,11 +95,16 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).filter("length(chunk_text) >= 200").select("doc_id", "chunk_index", F.md5("chunk_text").alias("digest"), F.ceil(F.length("chunk_text") / 4).cast("long").alias("token_estimate"))
 
 
-@query("neighbour_chunks", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, md5(chunk_text) AS digest FROM chunks WHERE doc_id % 10 = 0 AND chunk_index BETWEEN 1 AND 3")
+@query(
+    "neighbour_chunks",
+    f"""WITH {CHUNKS_SQL} SELECT c.doc_id, c.chunk_index, n.chunk_index AS neighbour, md5(n.chunk_text) AS digest FROM chunks c JOIN chunks n ON n.doc_id = c.doc_id AND n.chunk_index BETWEEN c.chunk_index - 1 AND c.chunk_index + 1""",
+)
 def neighbour_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk 2 of each document asked for, with one on either side; only their lines are joined."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND doc_id % 10 = 0")
-    return dedup.line_chunks(docs, "doc_id", "text").filter("chunk_index BETWEEN 1 AND 3").select("doc_id", "chunk_index", F.md5("chunk_text").alias("digest"))
+    """Every chunk with itself and the one on either side; each chunk goes to the chunks it neighbours."""
+    rows = chunks(spark, sf_dir).select("doc_id", F.col("chunk_index").alias("neighbour"), F.md5("chunk_text").alias("digest"))
+    of = rows.withColumn("chunk_index", F.explode(F.array(F.col("neighbour") - 1, F.col("neighbour"), F.col("neighbour") + 1)))
+    there = rows.select("doc_id", F.col("neighbour").alias("chunk_index"))
+    return of.join(there, ["doc_id", "chunk_index"], "left_semi").select("doc_id", "chunk_index", "neighbour", "digest")
 
 
 @query("chunk_keyword_search", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index FROM chunks WHERE contains(lower(chunk_text), 'license') ORDER BY doc_id, chunk_index LIMIT 20")
@@ -119,11 +125,11 @@ def vault_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.md5(F.array_join(parts, "\n\n")).alias("digest"))
 
 
-@query("line_range_read", "SELECT doc_id, array_to_string(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[2:4], chr(10)) AS lines FROM documents WHERE doc_id % 50 = 0")
+@query("line_range_read", "SELECT doc_id, array_to_string(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[2:4], chr(10)) AS lines FROM documents")
 def line_range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines 2 to 4, counted from 1, with the end clamped."""
     lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")
-    return table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id", F.array_join(F.slice(lines, 2, 3), "\n").alias("lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(lines, 2, 3), "\n").alias("lines"))
 
 
 CACHE_SQL = """deps AS (SELECT DISTINCT l_orderkey AS cache_id, 'part/' || l_partkey AS resource_path, CASE WHEN l_linenumber = 1 THEN NULL ELSE substr(sha256('part/' || l_partkey || ':' || (l_suppkey % 2)), 1, 16) END AS resource_hash FROM lineitem)"""
