@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction", "requests", "code")
+MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction", "requests", "code", "memory")
 
 
 def load_all() -> None:
