@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a temporary one is set only where none is configured (local tests)."""
     path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="millrace-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -32,6 +36,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``cut``, in no more partitions than ``rows`` each make: else a small table leaves files of every partition in every shuffle of a loop."""
+    out = cut(df)
+    n = out._jdf.queryExecution().toRdd().count()
+    return out.coalesce(max(1, -(-n // rows)))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffle files and checkpoints of rounds that are over: Spark removes them once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def return_arrays() -> None:
+    """Makes the driver return the memory of large arrays once they are freed; glibc would keep it for later ones."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another allocator
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder that no plan reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, cut, map_arrow, small_batches, sorted_groups, text_of, without
+from .common import bucket, compact, cut, map_arrow, small_batches, sorted_groups, text_of, tidy, without
 from .components import components
 
 SEED = 42
@@ -149,7 +149,7 @@ def _shards(radius: int) -> Column:
 def near_links(fps: DataFrame, radius: int = 4, tree_size: int = 4096) -> DataFrame:
     """(a, b) longs: links that span all pairs of distinct ``fps.fp`` at most ``radius`` bits apart."""
     small_batches(fps.sparkSession)
-    distinct = cut(fps.select("fp").distinct())
+    distinct = compact(fps.select("fp").distinct())
     sharded = distinct.select("fp", F.explode(_shards(radius)).alias("shard"))
     trees = sharded.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard", F.ceil(F.col("n") / F.lit(tree_size)).cast("int").alias("trees"))
     placed = sharded.join(trees, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
@@ -279,12 +279,14 @@ def resolved(links: DataFrame) -> DataFrame:
     """(node): those that go, if a node goes where a node it is linked to stays. Links lead back in one order, so this has one answer."""
     rest, gone = links, None
     while not rest.isEmpty():
-        stays = rest.select(F.col("by")).distinct().join(rest.select(F.col("node").alias("by")).distinct(), "by", "left_anti")
-        now = cut(rest.join(stays, "by", "left_semi").select("node").distinct())
+        ends = rest.select(F.col("by").alias("v"), F.lit(0).alias("out")).unionByName(rest.select(F.col("node").alias("v"), F.lit(1).alias("out")))
+        stays = ends.groupBy("v").agg(F.max("out").alias("out")).filter("out = 0").select(F.col("v").alias("by"))
+        now = compact(rest.join(stays, "by", "left_semi").select("node").distinct())
         gone = now if gone is None else gone.unionByName(now)
         rest = rest.join(now, "node", "left_anti")
-        rest = cut(rest.join(now.select(F.col("node").alias("by")), "by", "left_anti"))
-    return links.select("node").limit(0) if gone is None else cut(gone)
+        rest = compact(rest.join(now.select(F.col("node").alias("by")), "by", "left_anti"))
+        tidy(links.sparkSession)
+    return links.select("node").limit(0) if gone is None else compact(gone)
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -304,17 +306,20 @@ def sized(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def near_copies(rows: DataFrame, texts: DataFrame, width: int, radius: int, least: float, unit_size: int = 1024) -> DataFrame:
     """(node): the nodes that go; see ``drop_near_copies``. ``rows``: (_id, _row, fp, node, bands); ``texts``: (_row, _text).
 
-    After a round a node whose links lead only to nodes that go stays as well, and meets again what it wasn't compared with; so do the nodes
-    that stay of a bucket of many parts, across parts. Rounds end when no link is new.
+    The first round takes each node's largest bucket only, part by part; most nodes of large families go there. The next compares all that stay, in all
+    buckets and across parts. After it a node whose links lead only to nodes that go stays as well, and meets again what it
+    wasn't compared with. Rounds end when no link is new.
     """
     ways = rows.select("fp", "node").distinct()
-    links = near_links(rows, radius)
+    found = near_links(rows, radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = compact(found.groupBy("a").agg(F.min("b").alias("b")))  # one for each fingerprint; the bands find what these leave out
+    tidy(rows.sparkSession)
     pair = F.xxhash64(F.lit("pair"), "a", "b")
     by_fp = links.select(F.col("a").alias("fp"), pair.alias("key")).unionByName(links.select(F.col("b").alias("fp"), pair.alias("key")))
     by_fp = ways.join(by_fp, "fp").select("key", "node").unionByName(ways.select(F.xxhash64(F.lit("same"), "fp").alias("key"), "node"))
-    members = cut(buckets(rows.select(F.explode("bands").alias("key"), "node").unionByName(by_fp).distinct()))
+    members = compact(buckets(rows.select(F.explode("bands").alias("key"), "node").unionByName(by_fp).distinct()))
     first = rows.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("f"))
-    wanted = cut(members.select("node").distinct().join(first, "node").select("node", F.col("f._id").alias("least_id"), F.col("f._row").alias("_row")))
+    wanted = compact(members.select("node").distinct().join(first, "node").select("node", F.col("f._id").alias("least_id"), F.col("f._row").alias("_row")))
 
     keys = wanted.select(bucket(18, F.col("_row")).alias("_bucket")).distinct()
     some = texts.withColumn("_bucket", bucket(18, F.col("_row"))).join(F.broadcast(keys), "_bucket", "left_semi")
@@ -326,21 +331,22 @@ def near_copies(rows: DataFrame, texts: DataFrame, width: int, radius: int, leas
 
     sets = cut(map_arrow(needed, shingles, f"node long, least_id {dict(wanted.dtypes)['least_id']}, hashes binary").dropDuplicates(["node"]))
     sizes = sets.select("node", F.length("hashes").alias("bytes"))
-    now = cut(sized(members, sizes))
-    links, whole = cut(unit_links(now, sets, least, False, unit_size)), False
-    again = now.filter(F.greatest(F.col("n") / F.lit(unit_size), F.col("bytes") / F.lit(UNIT_BYTES)) > 1).select("key").distinct()
+    tidy(rows.sparkSession)
+    every = compact(sized(members, sizes))
+    largest = every.groupBy("node").agg(F.max(F.struct("n", "key")).alias("k")).select("node", F.col("k.key").alias("key"))
+    links = compact(unit_links(sized(every.join(largest, ["key", "node"]).select("key", "node"), sizes), sets, least, False, unit_size))
+    again = members.select("key")
     while True:
         gone = resolved(links)
-        back = links.select("node").distinct().join(gone, "node", "left_anti")
-        dirty = members.join(back, "node", "left_semi").select("key")
-        again = dirty.distinct() if whole else dirty.unionByName(again).distinct()
-        now = cut(sized(members.join(again, "key", "left_semi").join(gone, "node", "left_anti"), sizes))
+        again = again.unionByName(members.join(links.select("node").distinct().join(gone, "node", "left_anti"), "node", "left_semi").select("key")).distinct()
+        now = compact(sized(members.join(again, "key", "left_semi").join(gone, "node", "left_anti"), sizes))
         if now.isEmpty():
             return gone
-        new = cut(unit_links(now, sets, least, True, unit_size))
+        new = compact(unit_links(now, sets, least, True, unit_size))
+        tidy(rows.sparkSession)
         if new.isEmpty():
             return gone
-        links, whole = cut(links.unionByName(new).distinct()), True
+        links, again = compact(links.unionByName(new).distinct()), members.select("key").limit(0)
 
 
 def drop_near_copies(

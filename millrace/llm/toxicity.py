@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, small_batches, text_of
+from .common import cut, map_arrow, return_arrays, small_batches, text_of
 
 word_hash = xxhash.xxh64_intdigest
 WORDS = re.compile(r"[^\W\d_]+")
@@ -54,7 +54,7 @@ class Index:
         self.row_start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.term, self.value = terms.astype(np.int32), weights.astype(np.float32)
         example = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        order = np.argsort(self.term, kind="stable")
+        order = np.argsort(self.term, kind="stable").astype(np.int32)
         self.example, self.weight = example[order], self.value[order]
         held = self.term[order]
         self.start = np.searchsorted(held, np.arange(n_terms + 1)).astype(np.int64)
@@ -217,6 +217,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, k: int = 15, usable: Column | None = None) -> Model:
     """A model from ``labels`` (``usable`` says which rows may be learned from), at most ``per_class`` texts of each class."""
+    return_arrays()
     known = labels.select(F.col(id_col).alias("_id"), F.coalesce(F.col(label_col).cast("int"), F.lit(0)).alias("_y"), (usable if usable is not None else F.lit(True)).alias("_ok"))
     known = known.filter("_ok AND _id IS NOT NULL").groupBy("_id").agg(F.max("_y").alias("_y"))
     share = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -244,28 +245,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
     order = np.argsort(kept.column("term").to_numpy())
     vocabulary, weight = kept.column("term").to_numpy()[order], kept.column("weight").to_numpy()[order]
-    bags = words.groupBy("_id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+    bags = words.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("bag"))
     rows = texts.select("_id", "_y").join(bags, "_id", "left").toArrow()
 
+    # numbers of 32 bits, and no copies that outlive their use: the driver is small
     ids, y = rows.column("_id").to_pylist(), np.array(rows.column("_y").to_pylist(), np.float64)
-    held = rows.column("terms").combine_chunks()
-    size = np.nan_to_num(np.array(held.value_lengths().to_pylist(), np.float64)).astype(np.int64)
-    hashes, tf = held.flatten().to_numpy(), rows.column("tfs").combine_chunks().flatten().to_numpy()
-    del rows, held
-    terms = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    held = rows.column("bag").combine_chunks()
+    size = np.nan_to_num(held.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    hashes, tf = (held.flatten().field(i).to_numpy() for i in (0, 1))
+    terms = np.searchsorted(vocabulary[:-1], hashes).astype(np.int32)
     known = vocabulary[terms] == hashes
-    terms, tf, example = terms[known], tf[known], np.repeat(np.arange(len(ids)), size)[known]
-    size = np.bincount(example, minlength=len(ids))
-    value = (1 + np.log(tf)) * weight[terms]
-    value /= np.sqrt(np.bincount(example, value**2, len(ids)))[example]
-    lead = np.full(len(ids), -1)  # the heaviest word; examples that share one come to stand together
-    by = np.lexsort((value, example))
-    lead[example[by]] = terms[by]
-    place = np.empty(len(ids), np.int64)
-    filled = sorted(np.flatnonzero(size).tolist(), key=lambda i: (y[i], lead[i], str(ids[i])))
-    place[filled] = np.arange(len(filled))
-    by = np.lexsort((terms, place[example]))
+    value = (1 + np.log(tf, dtype=np.float32)) * weight.astype(np.float32)[terms]
+    del rows, held, hashes, tf
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), size)[known]
+    terms, value, size = terms[known], value[known], np.bincount(example, minlength=len(ids))
+    value /= np.sqrt(np.bincount(example, value * value, len(ids))).astype(np.float32)[example]
+    start, filled = np.cumsum(size) - size, np.flatnonzero(size)
+    lead = {i: int(terms[a + value[a : a + n].argmax()]) for i, a, n in zip(filled.tolist(), start[filled].tolist(), size[filled].tolist())}
+    filled = sorted(filled.tolist(), key=lambda i: (y[i], lead[i], str(ids[i])))  # examples that share their heaviest word stand together
+    by = _ranges(start[filled], size[filled]).astype(np.int32)
+    del example
     index = Index(size[filled], terms[by], value[by], len(vocabulary))
+    del terms, value, by
 
     per = {1: share.get(1, 0) / max(pos, 1), 0: share.get(0, 0) / max(neg, 1)}
     per = {c: w * n / total for c, w in per.items()}
