@@ -135,7 +135,7 @@ def test_keep_first_keeps_all_nulls(spark):
 
 @pytest.mark.parametrize(
     "message, want",
-    [("now fix the broken auth, thanks for all the earlier help with it, it was really kind of you and so on", "DEBUG"), ("add a null check before this line", "PATCH"), ("create a file where we store config", "CREATE"), ("thanks", "CHAT"), ("where is the route defined", "SEARCH"), ("hm", "DEBUG")],
+    [("now fix the broken auth, thanks for all the earlier help with it, it was really kind of you and so on", "DEBUG"), ("add a null check before this line", "PATCH"), ("create a file where we store config", "CREATE"), ("thanks", "CHAT"), ("where is the route defined", "SEARCH"), ("hm", "CHAT")],
 )
 def test_intents(spark, message, want):
     name, score, confidence = signals.intent(F.lit(message))
