@@ -274,7 +274,7 @@ def test_hard_negatives(spark):
     want = mined([(i, y, [int(np.floor(256 * c)) for c in v]) for i, v, y in rows])
     odd = [(None, [1.0] * 6, 1), (4000, None, 1), (4050, [1.0, None] + [1.0] * 4, 1), (4100, [float("nan")] * 6, 1), (4150, [float("inf")] * 6, 1), (4200, [-1e300] * 6, 1), (4250, [1.0] * 6, None)]
     df = spark.createDataFrame([(i, v, y, "clash", 1) for i, v, y in rows + odd], VECTORS).repartition(5)
-    assert found(df, sample=40, block=100) == want
+    assert found(df, sample=40, block=400) == want
     assert found(df) == want
     assert found(df.limit(0)) == []
 
@@ -282,5 +282,5 @@ def test_hard_negatives(spark):
 def test_large_numbers(spark):
     """Scores beyond the exact range of floats."""
     r = random.Random(8)
-    rows = [(i, [float(r.randrange(-(10**8), 10**8)) for _ in range(3)], i % 2) for i in range(200)]
-    assert found(spark.createDataFrame([(i, v, y, "", 0) for i, v, y in rows], VECTORS), scale=1, sample=20, block=30) == mined([(i, y, [int(c) for c in v]) for i, v, y in rows])
+    rows = [(i, [float(r.randrange(-(10**8), 10**8)) for _ in range(3)], i % 2) for i in range(600)]
+    assert found(spark.createDataFrame([(i, v, y, "", 0) for i, v, y in rows], VECTORS), scale=1, sample=20, block=300) == mined([(i, y, [int(c) for c in v]) for i, v, y in rows])
