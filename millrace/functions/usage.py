@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 # The offsets of two independent 32-bit FNV-1a lanes, and their prime.
 FNV_LANES, FNV_PRIME = (0x811C9DC5, 0x4B9ACE2F), 0x01000193
-# What changes between two reads of one thing, and what stands for it in a fingerprint.
+# What changes between two reads of one thing, and what stands for it in a fingerprint. The names of vaults and calls are this package's.
 VOLATILE = [
+    (r"vault_[a-f0-9]+", "VAULT_ID"),
+    (r'\[COMPRESSED_FILE vault_id:"[^"]+"\]', "[COMPRESSED]"),
+    (r'vault_id="[^"]+"', 'vault_id="STABLE"'),
     (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z", "TIMESTAMP"),
+    (r"call_\d+_\d+", "CALL_ID"),
+    (r"IDX_[0-9a-f-]{36}", "IDX_ID"),
     (r'"size":\s*\d+', '"size": SIZE'),
+    (r'"lastPatchedAt":\s*"[^"]+"', '"lastPatchedAt": TIMESTAMP'),
     (r"\bat\s+\d{2}:\d{2}:\d{2}\b", "at TIMESTAMP"),
 ]
 
@@ -32,8 +38,9 @@ def stable(text: Column) -> Column:
 
 def usage(report: Column) -> Column:
     """(input, cache_read, output) tokens of a usage report in JSON, of either of two dialects; zeros if it is of none."""
-    number = lambda path: F.coalesce(F.get_json_object(report, path).cast("long"), F.lit(0))
-    has = lambda path: F.get_json_object(report, path).isNotNull()
+    value = F.try_parse_json(report)
+    number = lambda path: F.coalesce(F.try_variant_get(value, path, "long"), F.lit(0))
+    has = lambda path: F.try_variant_get(value, path, "variant").isNotNull()  # noqa: E731  a field that is there and null counts as there
     row = lambda i, c, o: F.struct(i.alias("input"), c.alias("cache_read"), o.alias("output"))
     cached, zero = number("$.prompt_tokens_details.cached_tokens"), F.lit(0).cast("long")
     return (

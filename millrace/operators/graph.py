@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import short_hash
+
 
 def node_order() -> list[Column]:
     """Exported first, then complex, then by place."""
@@ -61,6 +63,12 @@ def neighbourhood(edges: DataFrame, symbol: str, most: int = 3) -> DataFrame:
     return ranked.filter(F.col("k") <= most).drop("k")
 
 
+def edge_id(file: Column, source: Column, target: Column, relation: Column, line: Column) -> Column:
+    """The key of an edge: a field without a value is an empty one."""
+    fields = [F.coalesce(c.cast("string"), F.lit("")) for c in (file, source, target, relation, line)]
+    return short_hash(F.concat_ws("|", *fields))
+
+
 def candidate_score(name: Column, asked: Column, preferred: Column, exported: Column, complexity: Column, fuzzy: Column) -> Column:
     """How well a candidate answers a query (in lower case): match of the name, index that the kind of query prefers, export, complexity; guesses lose."""
     low = F.lower(name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
-from ..operators import graph
+from ..operators import graph, resolver
 from ..sources.tables import table
 from .registry import query
 
@@ -190,10 +190,18 @@ def embeddable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).filter(F.col("kind").isin("STANDARD", "SMALL", "ECONOMY", "PROMO") & ~F.col("name").startswith("__module_")).select("node_id", "kind")
 
 
-@query("graph_identities", f"WITH {EDGES_SQL} SELECT substr(sha256(source_file || '|' || source_symbol || '|' || target_symbol || '|' || relation), 1, 16) AS edge_id, substr(sha256(target_file), 1, 16) AS file_id, relation FROM edges")
+@query("graph_identities", """WITH e AS (SELECT DISTINCT 'f' || (l_suppkey % 10) AS source_file, CASE WHEN l_suppkey % 7 <> 0 THEN 's' || l_suppkey END AS source_symbol, 'p' || l_partkey AS target_symbol, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'routes' END AS relation,
+      CASE WHEN l_returnflag <> 'N' THEN l_linenumber END AS line FROM lineitem)
+    SELECT substr(sha256(source_file || '|' || coalesce(source_symbol, '') || '|' || target_symbol || '|' || relation || '|' || coalesce(line::VARCHAR, '')), 1, 16) AS edge_id, substr(sha256(source_file), 1, 16) AS file_id, relation, line FROM e""")
 def graph_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    return e.select(short_hash(F.concat_ws("|", "source_file", "source_symbol", "target_symbol", "relation")).alias("edge_id"), short_hash(F.col("target_file")).alias("file_id"), "relation")
+    """An edge's id is of its file, symbols, relation and source line, with empty fields where it has none; two calls on two lines are two edges."""
+    c = F.col
+    relation = F.when(c("l_returnflag") == "A", "calls").when(c("l_returnflag") == "N", "imports").otherwise("routes")
+    e = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("f"), (c("l_suppkey") % 10).cast("string")).alias("source_file"), F.when(c("l_suppkey") % 7 != 0, F.concat(F.lit("s"), c("l_suppkey").cast("string"))).alias("source_symbol"),
+        F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("target_symbol"), relation.alias("relation"), F.when(c("l_returnflag") != "N", c("l_linenumber")).alias("line"),
+    ).distinct()
+    return e.select(graph.edge_id(c("source_file"), c("source_symbol"), c("target_symbol"), c("relation"), c("line")).alias("edge_id"), short_hash(c("source_file")).alias("file_id"), "relation", "line")
 
 
 @query(
@@ -205,48 +213,59 @@ def call_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(edges(spark, sf_dir), "s8")
 
 
-CANDIDATES_SQL = f"""q AS (SELECT lower(split_part(p_name, ' ', 1)) AS q FROM part WHERE p_partkey = 7),
- c AS (SELECT 'symbol' AS type, name, file_path, start_line AS line, kind, is_exported, complexity::DOUBLE AS complexity FROM nodes UNION ALL SELECT 'literal', value, file_path, start_line, kind, false, 0 FROM literals
-   UNION ALL SELECT 'env_var', key, file_path, 0, raw_text, false, 0 FROM config),
- s AS (SELECT c.*, least(2.0, CASE WHEN lower(name) = q THEN 1.0 WHEN starts_with(lower(name), q) THEN 0.7 WHEN contains(lower(name), q) THEN 0.5 ELSE 0.2 - 0.15 END
-   + CASE WHEN type = 'symbol' THEN 0.15 ELSE 0 END + CASE WHEN is_exported THEN 0.05 ELSE 0 END + CASE WHEN complexity > 0 THEN least(0.1, 0.03 * ln(complexity + 1)) ELSE 0 END) AS score FROM c, q)"""
-
-
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols, literals and settings, scored for the first word of a part's name; the query is one row."""
-    c = F.col
-    none = [F.lit(False).alias("is_exported"), F.lit(0.0).alias("complexity")]
-    found = nodes(spark, sf_dir).select(F.lit("symbol").alias("type"), "name", "file_path", c("start_line").alias("line"), "kind", "is_exported", c("complexity").cast("double").alias("complexity"))
-    found = found.unionByName(literals(spark, sf_dir).select(F.lit("literal").alias("type"), c("value").alias("name"), "file_path", c("start_line").alias("line"), "kind", *none))
-    found = found.unionByName(config(spark, sf_dir).select(F.lit("env_var").alias("type"), c("key").alias("name"), "file_path", F.lit(0).alias("line"), c("raw_text").alias("kind"), *none))
-    asked = table(spark, sf_dir, "part").filter("p_partkey = 7").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("q"))
-    found = found.crossJoin(F.broadcast(asked))
-    fuzzy = ~F.contains(F.lower("name"), c("q"))
-    return found.withColumn("score", graph.candidate_score(c("name"), c("q"), c("type").isin("symbol"), c("is_exported"), c("complexity"), fuzzy)).drop("q")
-
-
-@query("candidate_scores", f"WITH {NODES_SQL}, {LITERALS_SQL}, {CONFIG_SQL}, {CANDIDATES_SQL} SELECT type, name, file_path, line, round(score, 6) AS score FROM s")
+#: queries of every kind; a name of each index, and some that aren't there
+QUERY = """CASE p_partkey % 6 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN p_name WHEN 2 THEN concat('process.env.LIMIT_', cast(p_partkey % 7 AS varchar(20)))
+ WHEN 3 THEN concat('GET /orders/', cast(p_partkey * 7 + 1000 AS varchar(20))) WHEN 4 THEN concat('LIMIT_', cast(p_size % 7 AS varchar(20))) ELSE concat('orders/', cast(p_size + 500 AS varchar(20))) END"""
+ENTRIES_SQL = """entries AS (SELECT 'symbol' AS type, name, kind AS node_kind, file_path AS file, start_line AS line, is_exported, complexity FROM nodes UNION ALL SELECT 'literal', value, kind, file_path, start_line, NULL, NULL FROM literals
+   UNION ALL SELECT DISTINCT 'env_var', 'LIMIT_' || o_orderkey % 5, NULL, 'c' || o_custkey % 20, 0, NULL, NULL FROM orders UNION ALL SELECT 'route', '/orders/' || o_orderkey, NULL, 'c' || o_custkey, o_orderkey, NULL, NULL FROM orders)"""
+CANDIDATES_SQL = f"""asked AS (SELECT DISTINCT {QUERY} AS q FROM part),
+ k AS (SELECT q, CASE WHEN starts_with(q, 'GET /') OR contains(q, '/') THEN 'route' WHEN starts_with(q, 'process.env.') OR regexp_matches(q, '^[A-Z][A-Z0-9_]{{2,}}$') THEN 'env_var' WHEN regexp_matches(q, '^[a-zA-Z_$][a-zA-Z0-9_$]*$') THEN 'symbol' ELSE 'literal' END AS kind,
+   CASE WHEN starts_with(q, 'GET ') THEN substr(q, 5) WHEN contains(q, '/') THEN '/' || q WHEN starts_with(q, 'process.env.') THEN substr(q, 13) ELSE q END AS search FROM asked),
+ lookup AS (SELECT *, kind AS type, 0 AS step FROM k UNION ALL SELECT *, CASE kind WHEN 'symbol' THEN 'literal' ELSE 'symbol' END, 1 FROM k WHERE kind <> 'route' UNION ALL SELECT *, 'literal', 2 FROM k WHERE starts_with(q, 'process.env.')),
+ hits AS (SELECT l.*, name, node_kind, file, line, coalesce(is_exported, false) AS is_exported, coalesce(complexity, 0) AS complexity, name = search AS exact FROM lookup l JOIN entries e ON e.type = l.type AND contains(lower(name), lower(search))),
+ flagged AS (SELECT *, bool_or(exact) OVER (PARTITION BY q, step) AS any_exact FROM hits),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY q, step ORDER BY CASE type WHEN 'symbol' THEN 1 - is_exported::INT WHEN 'route' THEN 0 ELSE 1 - exact::INT END, CASE type WHEN 'symbol' THEN -complexity WHEN 'literal' THEN length(name) ELSE 0 END, file, line, name, node_kind) AS n
+   FROM flagged WHERE type <> 'symbol' OR exact OR NOT any_exact),
+ chosen AS (SELECT * FROM numbered WHERE n <= 10 OR type = 'route' OR (type = 'symbol' AND any_exact)),
+ ends AS (SELECT *, bool_or(step = 0 AND lower(name) IN (lower(q), lower(search))) OVER o AS first, bool_or(step = 1 AND lower(name) IN (lower(q), lower(search))) OVER o AS second, bool_or(step = 0) OVER o AS found FROM chosen WINDOW o AS (PARTITION BY q)),
+ kept AS (SELECT * FROM ends WHERE step = 0 OR (NOT first AND (step = 1 OR NOT (found AND second)))),
+ scored AS (SELECT *, least(2.0, CASE WHEN lower(name) = lower(search) THEN 1.0 WHEN starts_with(lower(name), lower(search)) THEN 0.7 WHEN contains(lower(name), lower(search)) THEN 0.5 ELSE 0.2 END + CASE WHEN type = kind OR (kind = 'env_var' AND type = 'symbol') THEN 0.15 ELSE 0 END
+   + CASE WHEN is_exported THEN 0.05 ELSE 0 END + CASE WHEN complexity > 0 THEN least(0.1, 0.03 * ln(complexity + 1)) ELSE 0 END - CASE WHEN type = 'symbol' AND NOT exact THEN 0.15 ELSE 0 END) AS score,
+   CASE type WHEN 'symbol' THEN coalesce(node_kind, type) ELSE type END AS nk FROM kept),
+ s AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY q, name, file, line, nk ORDER BY step, n) = 1)"""
+
+
+def resolver_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four indexes as one table."""
+    c, none = F.col, [F.lit(None).cast("boolean").alias("is_exported"), F.lit(None).cast("int").alias("complexity")]
+    found = nodes(spark, sf_dir).select(F.lit("symbol").alias("type"), "name", c("kind").alias("node_kind"), c("file_path").alias("file"), c("start_line").alias("line"), "is_exported", c("complexity").cast("int").alias("complexity"))
+    found = found.unionByName(literals(spark, sf_dir).select(F.lit("literal").alias("type"), c("value").alias("name"), c("kind").alias("node_kind"), c("file_path").alias("file"), c("start_line").alias("line"), *none))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(None).cast("string").alias("node_kind"))
+    limits = orders.select(F.concat(F.lit("LIMIT_"), (c("o_orderkey") % 5).cast("string")).alias("name"), F.concat(F.lit("c"), (c("o_custkey") % 20).cast("string")).alias("file"), "node_kind").distinct()
+    found = found.unionByName(limits.select(F.lit("env_var").alias("type"), "name", "node_kind", "file", F.lit(0).cast("long").alias("line"), *none))
+    return found.unionByName(orders.select(F.lit("route").alias("type"), F.concat(F.lit("/orders/"), c("o_orderkey").cast("string")).alias("name"), "node_kind", F.concat(F.lit("c"), c("o_custkey").cast("string")).alias("file"), c("o_orderkey").alias("line"), *none))
+
+
+def resolver_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.expr(QUERY).alias("text")).distinct().select(F.col("text").alias("query_id"), "text")
+
+
+@query("candidate_scores", f"WITH {NODES_SQL}, {LITERALS_SQL}, {ENTRIES_SQL}, {CANDIDATES_SQL} SELECT q AS query_id, type, name, file, line, round(score, 6) AS score FROM s")
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name match, preferred index, export, complexity and the fuzzy penalty, summed and capped."""
-    return candidates(spark, sf_dir).select("type", "name", "file_path", "line", F.round("score", 6).alias("score"))
+    """Exact hits of the indexes a query asks, or names that contain it; guesses of symbols lose a little."""
+    found = resolver.candidates(resolver_queries(spark, sf_dir), resolver_entries(spark, sf_dir))
+    return found.select("query_id", "type", "name", "file", "line", F.round("score", 6).alias("score"))
 
 
 @query(
     "resolve",
-    f"""WITH {NODES_SQL}, {LITERALS_SQL}, {CONFIG_SQL}, {CANDIDATES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY name, file_path, line, kind ORDER BY CASE type WHEN 'symbol' THEN 0 WHEN 'env_var' THEN 1 ELSE 2 END) AS n FROM s),
-    p AS (SELECT * FROM k WHERE n = 1 AND (type = 'symbol' OR NOT EXISTS (SELECT 1 FROM s, q WHERE type = 'symbol' AND lower(name) = q)))
-    SELECT type, name, file_path, line, round(score, 6) AS score, round(least(score / 1.15, 1.0), 6) AS confidence FROM p ORDER BY p.score DESC, type DESC, name, file_path, line LIMIT 10""",
+    f"""WITH {NODES_SQL}, {LITERALS_SQL}, {ENTRIES_SQL}, {CANDIDATES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, step, n) AS rank, least(max(score) OVER (PARTITION BY q) / 1.15, 1.0) AS confidence FROM s)
+    SELECT q AS query_id, k.kind, coalesce(rank, 0)::INTEGER AS rank, type, name, file, line, round(score, 6) AS score, round(coalesce(confidence, 0), 6) AS confidence, coalesce(confidence, 0) < 0.4 AS needs_fallback FROM k LEFT JOIN (SELECT q, rank, type, name, file, line, score, confidence FROM r) USING (q)""",
 )
 def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The primary index always, the others unless it has an exact hit; equal (name, file, line, kind) once; the ten best."""
-    scored = candidates(spark, sf_dir)
-    asked = table(spark, sf_dir, "part").filter("p_partkey = 7").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("q"))
-    exact = nodes(spark, sf_dir).join(F.broadcast(asked), F.lower("name") == F.col("q"), "left_semi").agg((F.count("*") > 0).alias("exact"))
-    rank = F.when(F.col("type") == "symbol", 0).when(F.col("type") == "env_var", 1).otherwise(2)
-    once = scored.groupBy("name", "file_path", "line", "kind").agg(F.min_by(F.struct("type", "score"), rank).alias("b")).select("name", "file_path", "line", "b.*")
-    open_ = once.crossJoin(F.broadcast(exact)).filter("type = 'symbol' OR NOT exact")
-    best = open_.orderBy(F.desc("score"), F.desc("type"), "name", "file_path", "line").limit(10)
-    return best.select("type", "name", "file_path", "line", F.round("score", 6).alias("score"), F.round(F.least(F.col("score") / 1.15, F.lit(1.0)), 6).alias("confidence"))
+    """Every query's answers, best first, and how sure the best one is."""
+    found = resolver.resolve(resolver_queries(spark, sf_dir), resolver_entries(spark, sf_dir))
+    return found.withColumns({"score": F.round("score", 6), "confidence": F.round("confidence", 6)})
 
 
 @query(

@@ -55,7 +55,8 @@ def local_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEMORY_DECISION = """CASE WHEN o_orderkey % 17 = 0 THEN 'bypass_header' WHEN o_orderkey % 19 = 0 THEN 'no_handler' WHEN o_orderpriority = '5-LOW' THEN 'mode_disabled' WHEN o_orderpriority = '1-URGENT' THEN 'mode_tool' END"""
 
 
-@query("memory_decision", f"SELECT o_orderkey AS id, {MEMORY_DECISION} AS reason, {MEMORY_DECISION} IS NULL AS inject, CASE WHEN o_custkey % 5 = 0 THEN 'anonymous' ELSE 'u' || o_custkey END AS user_id FROM orders")
+@query("memory_decision", """WITH rules AS (SELECT o_orderkey AS id, unnest([{'p': 1, 'r': 'bypass_header', 'hit': o_orderkey % 17 = 0}, {'p': 2, 'r': 'no_handler', 'hit': o_orderkey % 19 = 0}, {'p': 3, 'r': 'mode_disabled', 'hit': o_orderpriority LIKE '5%'}, {'p': 4, 'r': 'mode_tool', 'hit': o_orderpriority LIKE '1%'}]) AS rule FROM orders),
+    f AS (SELECT id, arg_min(rule.r, rule.p) AS reason FROM rules WHERE rule.hit GROUP BY id) SELECT o_orderkey AS id, reason, reason IS NULL AS inject, CASE WHEN o_custkey % 5 = 0 THEN 'anonymous' ELSE 'u' || o_custkey END AS user_id FROM orders LEFT JOIN f ON id = o_orderkey""")
 def memory_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precedence of reasons against injecting memories; without a user the default one is read and written."""
     reason = F.expr(MEMORY_DECISION)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
+from ..functions.usage import stable
 from ..operators import dedup
 from ..sources.tables import table
 from .registry import query
@@ -84,9 +85,9 @@ def hamming_le3(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE k.doc_id <> k.newest AND k.n >= 500 AND o.n >= 500 AND bit_count(xor(k.fp, o.fp)) <= CASE WHEN k.n > 200000 THEN 24 WHEN k.n > 100000 THEN 20 WHEN k.n > 50000 THEN 16 WHEN k.n > 20000 THEN 12 ELSE 14 END""",
 )
 def near_dup_in_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only against the newest row of a key (source and language)."""
+    """Only against the newest row of a key (source and language), by fingerprints without what changes from read to read."""
     docs = table(spark, sf_dir, "documents")
-    fps = dedup.word_simhash(docs, "doc_id", "text").join(docs.select("doc_id", "source", "lang", F.length("text").alias("n")), "doc_id")
+    fps = dedup.word_simhash(docs.withColumn("text", stable(F.col("text"))), "doc_id", "text").join(docs.select("doc_id", "source", "lang", F.length("text").alias("n")), "doc_id")
     return dedup.near_in_key(fps, ["source", "lang"], ["doc_id"], "fp", "n").select("doc_id", "newest", F.col("distance").cast("int").alias("distance"))
 
 

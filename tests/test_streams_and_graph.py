@@ -96,3 +96,29 @@ def test_terminal(spark):
     got = {r["id"]: r["text"] for r in terminal.scrub(df, ["id"], "text").collect()}
     assert {i: got[i] for i in texts if i != 8} == {i: w for i, (_, w) in texts.items() if i != 8}
     assert got[8].endswith("4%  [4 progress lines collapsed]") or "collapsed]" in got[8]
+
+
+def test_resolver(spark):
+    from millrace.operators import resolver
+
+    entries = [
+        ("symbol", "doWork", "function", "a.js", 1, True, 5), ("symbol", "dowork", "function", "b.js", 2, False, 0), ("symbol", "reDoWorkNow", "class", "c.js", 3, False, 9), ("literal", "doWork", "x", "d.js", 4, None, None),
+        ("literal", "x-amz-date", "header", "d.js", 5, None, None), ("env_var", "AWS_KEY", None, "e.js", 6, None, None), ("symbol", "AWS_KEY", "const", "e.js", 7, True, 1), ("route", "/api/users", None, "f.js", 8, None, None),
+        ("route", "/api/users/:id", None, "f.js", 9, None, None), ("symbol", "", "module", "g.js", 1, False, 0), ("symbol", "dup", "function", "h.js", 1, False, 2), ("symbol", "dup", "function", "h.js", 1, False, 2),
+    ] + [("symbol", f"zed{i:02d}", "function", "z.js", i, False, i) for i in range(30)]
+    table = spark.createDataFrame(entries, "type string, name string, node_kind string, file string, line long, is_exported boolean, complexity int")
+    texts = ["doWork", "'doWork'", "Work", "process.env.AWS_KEY", "AWS_KEY", "GET /api/users", "api/users", "x-amz", "nothing", "", "zed", "a%b", "dup", None]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    rows = resolver.resolve(queries, table).collect()
+    by = {}
+    for x in sorted(rows, key=lambda x: (x["query_id"], x["rank"])):
+        by.setdefault(x["query_id"], []).append(x)
+    names = lambda i: [(x["type"], x["name"]) for x in by[i]]
+    assert names(0) == names(1) == [("symbol", "doWork")]  # exact: no literals, no guesses
+    assert names(2) == [("symbol", "reDoWorkNow"), ("symbol", "doWork"), ("literal", "doWork"), ("symbol", "dowork")] or set(names(2)) == {("symbol", "doWork"), ("symbol", "dowork"), ("symbol", "reDoWorkNow"), ("literal", "doWork")}
+    assert all(x["score"] < 0.75 for x in by[2])
+    assert names(3)[0] == ("env_var", "AWS_KEY") and len(names(3)) == 1 and names(4) == names(3)
+    assert by[5][0]["name"] == "/api/users" and by[5][0]["score"] == pytest.approx(1.15) and len(by[5]) == 2 and names(6) == names(5)
+    assert names(7) == [("literal", "x-amz-date")]
+    assert by[8][0]["rank"] == 0 and by[8][0]["needs_fallback"] and by[9][0]["kind"] == "empty" and by[11][0]["rank"] == 0
+    assert len(by[10]) == 10 and by[10][0]["name"] == "zed29" and len(by[12]) == 1 and set(by) == set(range(14))
