@@ -122,3 +122,18 @@ def test_resolver(spark):
     assert names(7) == [("literal", "x-amz-date")]
     assert by[8][0]["rank"] == 0 and by[8][0]["needs_fallback"] and by[9][0]["kind"] == "empty" and by[11][0]["rank"] == 0
     assert len(by[10]) == 10 and by[10][0]["name"] == "zed29" and len(by[12]) == 1 and set(by) == set(range(14))
+
+
+def test_sql_functions(spark):
+    from millrace.functions.sql import register
+
+    register(spark)
+    one = spark.sql("SELECT canonical_path('A\\\\B.js') AS p, char_tokens('12345') AS t, search_terms('Ab c x-1') AS s, occurrences('aXaX', 'aX') AS o, occurrences('a', '') AS z, hamming64(7, 0) AS h, token_budget('ab\\ncdefgh', 1) AS b, short_hash(NULL) AS n").first()
+    assert (one["p"], one["t"], one["s"], one["o"], one["z"], one["h"], one["b"], one["n"]) == ("a/b.js", 2, ["ab", "x-1"], 2, None, 3, "ab", None)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM text_lines('a\\n\\nb') ORDER BY line").collect()] == [(1, "a"), (2, ""), (3, "b")]
+    rows = [(k, T0 + timedelta(minutes=m)) for k, ms in {"a": [0, 60, 121, 122], "b": [5]}.items() for m in ms] + [(None, T0)]
+    spark.createDataFrame(rows, "k string, ts timestamp_ntz").createOrReplaceTempView("gaps")
+    got = {(r["session_key"], r["events"]) for r in spark.sql("SELECT * FROM gap_sessions(TABLE(SELECT * FROM gaps WHERE k IS NOT NULL) PARTITION BY k ORDER BY (ts), 60)").collect()}
+    assert got == {("a", 2), ("a", 2), ("b", 1)}
+    got = {(r["name"], r["is_exported"]) for r in spark.sql("SELECT s.* FROM VALUES ('javascript', 'function a() {}\\nexport class B {}\\nfunction a() {}'), ('cobol', 'x'), ('go', NULL) AS f(l, t), LATERAL extract_symbols(l, t) s").collect()}
+    assert got == {("a", False), ("B", True)}
