@@ -159,13 +159,14 @@ def compression_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stall",
-    f"""WITH {MESSAGES_SQL}, r AS (SELECT conv_id, turn, substr(text, 1, 3) AS args, row_number() OVER (PARTITION BY conv_id, role, substr(text, 1, 1) ORDER BY turn) AS n FROM m)
-    SELECT conv_id, turn, n AS nth, n >= 3 AS stalled FROM r""",
+    "SELECT user_id, event_id, row_number() OVER w AS nth, row_number() OVER w >= 3 AS stalled FROM events WINDOW w AS (PARTITION BY user_id, event_type, props ORDER BY ts, event_id)",
 )
 def stall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third call with the same arguments (here role and first letter) is a stall."""
-    n = F.row_number().over(Window.partitionBy("conv_id", "role", F.substring("text", 1, 1)).orderBy("turn"))
-    return messages(spark, sf_dir).withColumn("n", n).select("conv_id", "turn", F.col("n").cast("long").alias("nth"), (F.col("n") >= 3).alias("stalled"))
+    """Calls of a session by tool (the type) and arguments (the whole of its properties, by digest): the third with the same ones is a stall."""
+    arguments = F.sha2(F.concat_ws("\x1f", "event_type", F.coalesce("props", F.lit("\x00"))), 256)
+    n = F.row_number().over(Window.partitionBy("user_id", "_a").orderBy("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", arguments.alias("_a"))
+    return rows.withColumn("nth", n.cast("long")).select("user_id", "event_id", "nth", (F.col("nth") >= 3).alias("stalled"))
 
 
 @query(
