@@ -1,7 +1,7 @@
 """Main text of web pages: markup rules, and differences to the page with the nearest URL.
 
 A page is cut into blocks (lines of text). Blocks in navigation, footers, sidebars, forms, adverts, notices, comment
-sections and the like are out, by element or by class, id, role or label. The lines that are left are compared with those of the pages with the
+sections and the like are out, by element or by class, id, role or label (marks; hidden elements stay, as they may be the article's). The lines that are left are compared with those of the pages with the
 nearest other URL paths of the host: lines are aligned by longest common subsequence, and shared ones are the template.
 
 * On pages without article or main shared lines go. A neighbour which shares at least half of a page's text is another copy of the page
@@ -9,6 +9,9 @@ nearest other URL paths of the host: lines are aligned by longest common subsequ
 * Where article or main hold the text, articles of a host may quote the same paragraphs, so a shared line within them goes only if at least
   ``often`` of the host's pages (five at least) hold it. What stands outside is left out, unless it is more than twice as long: then article
   or main is a teaser, and the page counts as one without.
+* A class or id is a mark if all its parts are words of marks or of layout, so that site-nav is one and related-work isn't. The id of a section
+  in an article is a target of links: there only words for comments count. Other attributes, and values of attributes, say nothing.
+* A navigation, footer, sidebar or menu that is never closed ends at the next heading, paragraph, section, article or the like.
 * Null html counts as empty; a page without main text gives an empty string. Pages without a URL are compared with none.
 * All pages of one host and path have the same neighbours, found among the distinct paths. Those are dealt out by ranges,
   so that a host of any size is spread over tasks; partitions don't change results. Lines are compared by 64-bit hashes. Html is
@@ -46,39 +49,54 @@ MARKS = frozenset(
     "complementary contentinfo alert rail".split()
 )
 KEPT = frozenset("main body html h1 h2 h3 h4 h5 h6".split())
+#: Words of layout, which change nothing in a mark: page-footer, comment-list.
+LAYOUT = frozenset(
+    "area article banner bar bottom box button buttons col column container content count desktop entry fixed form global group header holder horizontal "
+    "inline inner item items js left link links list main mobile module outer page panel placeholder post primary reader readers region right row secondary section site "
+    "slot small sticky sub thread top unit user users vertical wrap wrapper zone".split()
+)
 #: Of an article only these say that it is none.
 NO_ARTICLE = frozenset("ad advert advertisement comment comments promo promoted reply replies sponsored teaser".split())
+#: Words for what readers write.
+TALK = frozenset("comment comments discussion disqus replies reply respond".split())
 #: Words before a mark that make it say something of the element around it: with-sidebar, has-share-buttons.
 AROUND = frozenset("with without has have no is not js can show hide".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PART = re.compile(r"[^a-z]+")
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "title"}
 
+#: Elements that can't stand in an open navigation, footer or the like whose end is missing.
+ENDS_LOOSE = frozenset("article aside blockquote figure footer h1 h2 h3 h4 h5 h6 header main nav p pre section table".split())
+
 OPEN, MAIN, OUT = 0, 1, 2
 
 
 def _is_mark(token: str) -> bool:
-    """Whether a class token is a mark, or begins or ends with one."""
+    """Whether a class token is made of marks, or of marks and words of layout."""
     parts = [x for x in PART.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x]
-    return bool(parts) and parts[0] not in AROUND and (parts[0] in MARKS or parts[-1] in MARKS)
+    return bool(parts) and parts[0] not in AROUND and not MARKS.isdisjoint(parts) and all(x in MARKS or x in LAYOUT for x in parts)
 
 
-def _marked(name: str, attrs: str) -> bool:
+def _marked(name: str, attrs: str, zone: int) -> bool:
     if name in KEPT:
         return False
+    seen = set()
     for m in ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "aria-label":
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key not in ("class", "id", "role", "aria-label") or key in seen:
+            continue
+        seen.add(key)
+        if key == "aria-label":
             if name != "article" and value.strip().lower() in MARKS:
                 return True
         elif name == "article":
             if NO_ARTICLE & set(value.lower().split()):
                 return True
         elif any(map(_is_mark, value.split())):
-            return True
-    return bool(HIDDEN.search(attrs))
+            if key != "id" or name != "section" or zone != MAIN or not TALK.isdisjoint(PART.split(value.lower())):
+                return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -88,6 +106,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     stack: list[tuple[str, int]] = []  # open elements that change the zone, or hold one that does
     zone, at = OPEN, 0
     low = None
+    unclosed: set[str] = set()  # names without an end tag from here on
 
     def flush() -> None:
         if text:
@@ -134,12 +153,22 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if name in BLOCKS:
             flush()
+            if name in ENDS_LOOSE:
+                loose = next((k for k, x in enumerate(stack) if x[0] in unclosed), None)
+                if loose is not None:
+                    zone = stack[loose][1]
+                    del stack[loose:]
             if name in ENDS_P and stack and stack[-1][0] == "p":
                 zone = stack.pop()[1]
         inner = zone
         if zone != OUT:
-            if name in DROPPED or name == "header" and zone != MAIN or _marked(name, attrs) and not (name == "header" and zone == MAIN):
+            if name in DROPPED or name == "header" and zone != MAIN or _marked(name, attrs, zone) and not (name == "header" and zone == MAIN):
                 inner = OUT
+                if name in DROPPED and name not in unclosed:
+                    if low is None:
+                        low = page.lower()
+                    if low.find(f"</{name}", at) < 0:
+                        unclosed.add(name)
             elif name in ("article", "main"):
                 inner = MAIN
         if inner != zone and name not in BLOCKS:

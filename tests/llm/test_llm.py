@@ -464,6 +464,28 @@ def test_marks_are_whole_tokens_and_articles_count():
     assert text_of_page("<article><p>" + "long " * 1_000_000 + "</p></article>") == ("long " * 1_000_000).strip()
 
 
+@pytest.mark.parametrize(
+    "first",
+    [
+        '<p title="the hidden truth">First</p>', '<p data-id="comment">First</p>', '<section id="related-work"><p>First</p></section>', '<section id="search-algorithms">First</section>',
+        '<p class="notice-of-sale">First</p>', '<div class="social-history">First</div>', '<section id="search"><p>First</p></section>', '<p hidden>First</p>', "<p data-role=navigation>First",
+    ],
+)
+@pytest.mark.parametrize("around", ["<article>{}<p>Second</p></article>", "<main>{}<p>Second</p></main>"])
+def test_attributes_that_mark_nothing(first, around):
+    assert html_extract.main_text(html_extract.blocks(around.format(first)), []) == "First\nSecond"
+
+
+def test_marks_of_layout_and_menus_without_an_end():
+    text_of_page = lambda page: html_extract.main_text(html_extract.blocks(page), [])
+    for mark in ("site-nav", "siteNav", "page_footer", "comment-list", "ad-slot-3", "cookie banner"):
+        assert text_of_page(f'<div class="{mark}"><p>out</p></div><article><p>in</p><div id="{mark.split()[0]}">out</div></article>') == "in"
+    assert text_of_page("<nav><ul><li>Home<li>About</ul><article><p>One</p></article>") == "One"
+    assert text_of_page("<nav><a>Home</a><h1>Head</h1><p>One</p><footer>f<p>g") == "Head\nOne\ng"
+    assert text_of_page("<nav><p>Home</p></nav><p>One</p><nav><li>Two</nav>") == "One"
+    assert text_of_page('<article><p>In</p><section id="comments"><p>y</p></section><section id="reader-comments">x</section></article>') == "In"
+
+
 def test_template_lines_within_articles_go_and_quotes_stay(spark):
     rows, want = [], {}
     for k in range(40):
