@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction", "requests", "code", "memory", "json_results", "index", "vault_requests", "reindex", "terminal", "sessions", "sql_surface", "patching")
+MODULES = ("retrieval", "metrics", "conversation", "graph", "store", "sampling", "extraction", "requests", "code", "memory", "json_results", "index", "vault_requests", "reindex", "terminal", "sessions", "sql_surface", "patching", "planning")
 
 
 def load_all() -> None:
