@@ -122,14 +122,11 @@ def mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label", (F.col("i") + 1).alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
 
 
-DIMENSION = 64
-
-
-@query("vector_load", "SELECT vec_id, len(embedding)::INTEGER AS dim FROM embeddings WHERE vec_id % 9 <> 0 AND len(embedding) = 64")
+@query("vector_load", "SELECT vec_id, len(embedding)::INTEGER AS dim FROM embeddings WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings)")
 def vector_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the dimension that the store has; others are passed over, here every ninth, which another model has left shorter."""
-    v = F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, DIMENSION // 2)).otherwise(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).alias("dim")).filter(F.col("dim") == DIMENSION)
+    """Every vector of the dimension that the store has; shorter ones, which another model has left, are passed over."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dim"))
+    return e.join(F.broadcast(e.agg(F.max("dim").alias("dim"))), "dim").select("vec_id", "dim")
 
 
 @query(
