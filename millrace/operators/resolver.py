@@ -1,7 +1,8 @@
 """A table of queries for names resolved against four indexes: symbols, literals, environment variables and routes.
 
 What a query looks like decides which index is asked first, in which form, and which others follow unless there is an exact hit. Names that
-contain a query are found by an equi-join on its first letters (three at most) with all pieces of that length of the distinct names.
+contain a query are found by an equi-join of the whole query with the pieces of the distinct names that have the length and first letter of
+some query, so names and queries that share a beginning don't all meet. Of equal names only the best entries go on where an index gives its best alone.
 """
 
 from __future__ import annotations
@@ -32,11 +33,21 @@ def lookups(text: Column, kind: Column) -> Column:
     )
 
 
-def _grams(name: Column) -> Column:
-    """All pieces of one, two and three letters of a name."""
-    starts = F.sequence(F.lit(1), F.length(name))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(name, i, n))))
-    return F.array_distinct(pieces)
+def _pieces(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(type, name, _low): the pieces of lowered ``names`` (type, name) with a length and first letter that a search of ``wanted`` (type, _low) has."""
+    shapes = wanted.groupBy("type", F.length("_low").alias("_n")).agg(F.collect_set(F.substring("_low", 1, 1)).alias("_firsts"))
+    low = once(names, _name=F.lower("name")).join(F.broadcast(shapes), "type").filter(F.length("_name") >= F.col("_n"))  # a row for each length
+    starts = F.filter(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1), lambda i: F.array_contains(F.col("_firsts"), F.substr("_name", i, F.lit(1))))
+    return low.select("type", "name", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("_name", i, F.col("_n"))))).alias("_low"))
+
+
+def _order(exact: Column) -> list[Column]:
+    """The order of an index's hits; among entries of one type and name it is the same for every query."""
+    return [
+        F.when(F.col("type") == "symbol", (~F.coalesce("is_exported", F.lit(False))).cast("int")).when(F.col("type") != "route", (~exact).cast("int")).otherwise(0),
+        F.when(F.col("type") == "symbol", -F.coalesce("complexity", F.lit(0))).when(F.col("type") == "literal", F.length("name")).otherwise(0),
+        "file", "line", "name", "node_kind",
+    ]
 
 
 def candidates(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -47,22 +58,17 @@ def candidates(queries: DataFrame, entries: DataFrame) -> DataFrame:
     clean = F.trim(F.regexp_replace("text", "^[\"'`]|[\"'`]$", ""))
     asked = once(queries, _q=clean).filter("_q <> ''").select("query_id", "_q", query_kind(F.col("_q")).alias("kind"))
     asked = asked.select("query_id", "_q", "kind", F.explode(lookups(F.col("_q"), F.col("kind"))).alias("l")).select("query_id", "_q", "kind", "l.*").withColumn("_low", F.lower("search"))
-    wanted = asked.select("type", "search", "_low", F.substring("_low", 1, 3).alias("gram")).distinct()
-    names = entries.filter("name <> ''").select("type", "name").distinct()
-    pieces = names.select("type", "name", F.explode(_grams(F.lower("name"))).alias("gram"))
-    matched = wanted.join(pieces, ["type", "gram"]).filter(F.contains(F.lower("name"), F.col("_low"))).select("type", "search", "name")
-    found = asked.join(matched, ["type", "search"]).join(entries, ["type", "name"])
+    wanted = asked.select("type", "search", "_low").distinct()
+    named = entries.filter("name <> ''")
+    matched = wanted.join(_pieces(named.select("type", "name").distinct(), wanted), ["type", "_low"]).select("type", "search", "name")
 
     per = Window.partitionBy("query_id", "step")
-    exact = F.col("name") == F.col("search")
-    found = found.withColumn("_exact", exact).withColumn("_any", F.max("_exact").over(per)).filter("type <> 'symbol' OR _exact OR NOT _any")
-    by_type = [
-        F.when(F.col("type") == "symbol", (~F.coalesce("is_exported", F.lit(False))).cast("int")).when(F.col("type") != "route", (~F.col("_exact")).cast("int")).otherwise(0),
-        F.when(F.col("type") == "symbol", -F.coalesce("complexity", F.lit(0))).when(F.col("type") == "literal", F.length("name")).otherwise(0),
-        "file", "line", "name", "node_kind",
-    ]
-    found = found.withColumn("_n", F.row_number().over(per.orderBy(*by_type)))
-    found = found.filter((F.col("_n") <= BEST) | (F.col("type") == "route") | ((F.col("type") == "symbol") & F.col("_any")))
+    hits = asked.join(matched, ["type", "search"]).withColumn("_exact", F.col("name") == F.col("search"))
+    hits = hits.withColumn("_any", F.max("_exact").over(per)).filter("type <> 'symbol' OR _exact OR NOT _any")
+    whole = (F.col("type") == "route") | ((F.col("type") == "symbol") & F.col("_any"))
+    same_name = F.row_number().over(Window.partitionBy("type", "name").orderBy(*_order(F.lit(True))))
+    found = hits.join(named.withColumn("_of", same_name), ["type", "name"]).filter((F.col("_of") <= BEST) | whole)
+    found = found.repartition("query_id").withColumn("_n", F.row_number().over(per.orderBy(*_order(F.col("_exact"))))).filter((F.col("_n") <= BEST) | whole)
 
     # an index that follows is left out where an earlier one has a name that is the query, in any case of letters
     hit = F.lower("name").isin(F.lower("_q"), F.col("_low"))
