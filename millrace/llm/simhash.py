@@ -306,17 +306,16 @@ def sized(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def near_copies(rows: DataFrame, texts: DataFrame, width: int, radius: int, least: float, unit_size: int = 1024) -> DataFrame:
     """(node): the nodes that go; see ``drop_near_copies``. ``rows``: (_id, _row, fp, node, bands); ``texts``: (_row, _text).
 
+    A bucket holds the nodes of one band key, or of all fingerprints that links of ``radius`` bits connect.
     The first round takes each node's largest bucket only, part by part; most nodes of large families go there. The next compares all that stay, in all
     buckets and across parts. After it a node whose links lead only to nodes that go stays as well, and meets again what it
     wasn't compared with. Rounds end when no link is new.
     """
     ways = rows.select("fp", "node").distinct()
-    found = near_links(rows, radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = compact(found.groupBy("a").agg(F.min("b").alias("b")))  # one for each fingerprint; the bands find what these leave out
+    family = components(near_links(rows, radius)).select(F.col("vertex").alias("fp"), "root")
+    # spanning links of a family say nothing of its other pairs within the radius, so the whole family is one bucket
+    by_fp = ways.join(family, "fp", "left").select(F.xxhash64(F.lit("family"), F.coalesce("root", "fp")).alias("key"), "node")
     tidy(rows.sparkSession)
-    pair = F.xxhash64(F.lit("pair"), "a", "b")
-    by_fp = links.select(F.col("a").alias("fp"), pair.alias("key")).unionByName(links.select(F.col("b").alias("fp"), pair.alias("key")))
-    by_fp = ways.join(by_fp, "fp").select("key", "node").unionByName(ways.select(F.xxhash64(F.lit("same"), "fp").alias("key"), "node"))
     members = compact(buckets(rows.select(F.explode("bands").alias("key"), "node").unionByName(by_fp).distinct()))
     first = rows.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("f"))
     wanted = compact(members.select("node").distinct().join(first, "node").select("node", F.col("f._id").alias("least_id"), F.col("f._row").alias("_row")))
@@ -355,7 +354,7 @@ def drop_near_copies(
     """The rows of ``df`` that stay, all columns. A row goes only for a row that stays, comes before it (least id, nulls first) and
     shares ``least`` of their distinct shingles of ``width`` words.
 
-    Rows are compared if their fingerprints are at most ``radius`` bits apart, found in BK-trees, or if they agree in one of ``bands``
+    Rows are compared if links between fingerprints at most ``radius`` bits apart, found in BK-trees, connect theirs, or if they agree in one of ``bands``
     keys of ``band_rows`` least hashes each; two texts that share 0.8 agree in none with a probability of 0.002. Of rows
     with one set of shingles one stays at most. Null text counts as empty; texts without words are equal. Rows that repeat id
     and text stay or go together.
