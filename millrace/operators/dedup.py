@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,15 +64,22 @@ def near_in_key(rows: DataFrame, keys: list[str], order: list[str], fp: str, len
 
 
 def hamming_pairs(rows: DataFrame, id_col: str, fp: str, radius: int = 3) -> DataFrame:
-    """(a, b, distance): pairs at most ``radius`` (3 at most) bits apart, by equality on one of four 16-bit bands."""
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)])
-    cut = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.explode(bands).alias("band"))
-    left, right = cut.select(F.col("id").alias("a"), F.col("fp").alias("fa"), "band"), cut.select(F.col("id").alias("b"), F.col("fp").alias("fb"), "band")
-    d = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    # a pair that agrees in several bands is taken from the first
-    first = F.array_min(F.filter(F.array(*[F.when(F.shiftrightunsigned(F.col("fa").bitwiseXOR(F.col("fb")), 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0, F.lit(k)) for k in range(4)]), lambda x: x.isNotNull()))
-    joined = left.join(right, "band").filter("a < b").filter(d <= radius).filter(F.col("band.k") == first)
-    return joined.select("a", "b", d.cast("int").alias("distance"))
+    """(a, b, distance): pairs at most ``radius`` (3 at most) bits apart.
+
+    Distinct fingerprints meet by equality on two of five blocks, which three bits can't all change; only those that are near get their rows.
+    """
+    blocks = [(64 * i // 5, 64 * (i + 1) // 5 - 64 * i // 5) for i in range(5)]
+    value = lambda x, i: F.shiftrightunsigned(x, blocks[i][0]).bitwiseAND(F.lit((1 << blocks[i][1]) - 1))
+    two = list(combinations(range(5), 2))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), value(F.col("fp"), i).alias("u"), value(F.col("fp"), j).alias("v")) for k, (i, j) in enumerate(two)])
+    members = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    cut = members.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
+    x = F.col("fa").bitwiseXOR(F.col("fb"))
+    # a pair that agrees in several keys is taken from the first
+    first = F.coalesce(*[F.when((value(x, i) == 0) & (value(x, j) == 0), F.lit(k)) for k, (i, j) in enumerate(two)])
+    near = cut.select(F.col("fp").alias("fa"), "key").join(cut.select(F.col("fp").alias("fb"), "key"), "key").filter("fa <= fb").filter(F.bit_count(x) <= radius).filter(F.col("key.k") == first)
+    found = near.select("fa", "fb").join(members.select(F.col("id").alias("x"), F.col("fp").alias("fa")), "fa").join(members.select(F.col("id").alias("y"), F.col("fp").alias("fb")), "fb")
+    return found.filter("x < y OR (x > y AND fa <> fb)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.bit_count(x).cast("int").alias("distance"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

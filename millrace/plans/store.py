@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import short_hash
 from ..functions.usage import stable
 from ..operators import dedup
+from ..sources.shared import shared_folder
 from ..sources.tables import table
 from .registry import query
 
@@ -74,7 +75,10 @@ def simhash_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hamming_le3", f"WITH {FP_SQL}, s AS (SELECT doc_id, {SIGNED} AS fp FROM fp) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.fp, y.fp))::INTEGER AS distance FROM s x JOIN s y ON x.doc_id < y.doc_id AND bit_count(xor(x.fp, y.fp)) <= 3")
 def hamming_le3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.hamming_pairs(dedup.word_simhash(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "fp", 3)
+    """Fingerprints are stored first, as the join reads them several times."""
+    path = shared_folder(spark, "fingerprints")
+    dedup.word_simhash(table(spark, sf_dir, "documents"), "doc_id", "text").write.parquet(path)
+    return dedup.hamming_pairs(spark.read.parquet(path), "doc_id", "fp", 3)
 
 
 @query(
