@@ -2,7 +2,7 @@
 
 What a query looks like decides which index is asked first, in which form, and which others follow unless there is an exact hit. Names that
 contain a query are found by an equi-join of the whole query with the pieces of the distinct names that have the length and first letter of
-some query, so names and queries that share a beginning don't all meet. Of equal names only the best entries go on where an index gives its best alone.
+some query, so names and queries that share a beginning don't all meet. Pieces and entries that no query can meet are left out before a shuffle. Of equal names only the best entries go on where an index gives its best alone.
 """
 
 from __future__ import annotations
@@ -33,12 +33,24 @@ def lookups(text: Column, kind: Column) -> Column:
     )
 
 
+def likely(df: DataFrame, keys: list[str], of: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` may be among those of ``of``, and few others: looked up in a broadcast table of 2^24 bits, so that a join needn't shuffle the rest."""
+    h = F.xxhash64(*keys)
+    word = F.shiftright(h, 6).bitwiseAND(F.lit((1 << 18) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    words = of.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = df.select("*", word.alias("_word"), bit.alias("_bit")).join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return found.select(*df.columns)
+
+
 def _pieces(names: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(type, name, _low): the pieces of lowered ``names`` (type, name) with a length and first letter that a search of ``wanted`` (type, _low) has."""
-    shapes = wanted.groupBy("type", F.length("_low").alias("_n")).agg(F.collect_set(F.substring("_low", 1, 1)).alias("_firsts"))
-    low = once(names, _name=F.lower("name")).join(F.broadcast(shapes), "type").filter(F.length("_name") >= F.col("_n"))  # a row for each length
-    starts = F.filter(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1), lambda i: F.array_contains(F.col("_firsts"), F.substr("_name", i, F.lit(1))))
-    return low.select("type", "name", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("_name", i, F.col("_n"))))).alias("_low"))
+    """(type, name, _low): the pieces of lowered ``names`` (type, name) with a length and first letter that a search of ``wanted`` (type, _low) has, a row for each place."""
+    shapes = wanted.select("type", F.substring("_low", 1, 1).alias("_first"), F.length("_low").alias("_n")).distinct()
+    least = shapes.groupBy("type").agg(F.min("_n").alias("_least"))
+    low = once(names, _name=F.lower("name")).join(F.broadcast(least), "type").filter(F.length("_name") >= F.col("_least"))
+    places = low.select("type", "name", "_name", F.explode(F.sequence(F.lit(1), F.length("_name") - F.col("_least") + 1)).alias("_at"))
+    shaped = places.withColumn("_first", F.substr("_name", "_at", F.lit(1))).join(F.broadcast(shapes), ["type", "_first"]).filter(F.col("_at") + F.col("_n") - 1 <= F.length("_name"))
+    return shaped.select("type", "name", F.substr("_name", "_at", "_n").alias("_low"))
 
 
 def _order(exact: Column) -> list[Column]:
@@ -60,14 +72,17 @@ def candidates(queries: DataFrame, entries: DataFrame) -> DataFrame:
     asked = asked.select("query_id", "_q", "kind", F.explode(lookups(F.col("_q"), F.col("kind"))).alias("l")).select("query_id", "_q", "kind", "l.*").withColumn("_low", F.lower("search"))
     wanted = asked.select("type", "search", "_low").distinct()
     named = entries.filter("name <> ''")
-    matched = wanted.join(_pieces(named.select("type", "name").distinct(), wanted), ["type", "_low"]).select("type", "search", "name")
+    pieces = likely(_pieces(named.select("type", "name").distinct(), wanted), ["type", "_low"], wanted)
+    matched = wanted.join(pieces, ["type", "_low"]).select("type", "search", "name").distinct()
 
     per = Window.partitionBy("query_id", "step")
-    hits = asked.join(matched, ["type", "search"]).withColumn("_exact", F.col("name") == F.col("search"))
-    hits = hits.withColumn("_any", F.max("_exact").over(per)).filter("type <> 'symbol' OR _exact OR NOT _any")
+    hits = asked.join(matched, ["type", "search"]).withColumn("_exact", F.col("name") == F.col("search")).repartition("query_id")
+    # an exact name in the first index is always among its hits, so what follows it needs no entries
+    ended = F.max((F.col("step") == 0) & F.col("_exact")).over(Window.partitionBy("query_id"))
+    hits = hits.withColumns({"_any": F.max("_exact").over(per), "_ended": ended}).filter("type <> 'symbol' OR _exact OR NOT _any").filter("step = 0 OR NOT _ended").drop("_ended")
     whole = (F.col("type") == "route") | ((F.col("type") == "symbol") & F.col("_any"))
     same_name = F.row_number().over(Window.partitionBy("type", "name").orderBy(*_order(F.lit(True))))
-    found = hits.join(named.withColumn("_of", same_name), ["type", "name"]).filter((F.col("_of") <= BEST) | whole)
+    found = hits.join(likely(named, ["type", "name"], hits).withColumn("_of", same_name), ["type", "name"]).filter((F.col("_of") <= BEST) | whole)
     found = found.repartition("query_id").withColumn("_n", F.row_number().over(per.orderBy(*_order(F.col("_exact"))))).filter((F.col("_n") <= BEST) | whole)
 
     # an index that follows is left out where an earlier one has a name that is the query, in any case of letters
