@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .once import once
+from .resolver import likely
 
 # What counts as a line hint and as a path.
 LINE_HINT = r"(?i)\bline[:\s]+(\d+)\b"
@@ -70,17 +71,23 @@ def hybrid(queries: DataFrame, search: Callable[[DataFrame], DataFrame], dense:
 
 def _answers(hits: DataFrame, chunks: DataFrame, inline: DataFrame | None, how: Tiers) -> DataFrame:
     """(request_id, first, held, second): the texts of tiers 3, 4 and 5 of each request from its hits, null where there is nothing. Hits are read once."""
-    at = chunks.select(F.col("chunk_id").alias("id"), "vault_id", "chunk_index")
-    held = inline.select("id", F.col("text").alias("held")) if inline is not None else chunks.select(F.col("chunk_id").alias("id"), F.lit("").alias("held")).limit(0)
+    at = chunks.select(F.col("chunk_id").alias("id"), "vault_id", "chunk_index", F.col("text").isNotNull().alias("_there"))
+    hits = hits.join(at, "id", "left").repartition(F.col("query_id.request_id"))
+    # the second step counts only where the first has found no chunk that is there
+    found = F.max((F.col("query_id.step") == 1) & F.coalesce(F.col("_there") & F.col("vault_id").isNotNull(), F.lit(False)))
+    hits = hits.withColumn("_found", found.over(Window.partitionBy("query_id.request_id"))).filter("query_id.step = 1 OR NOT _found").drop("_there", "_found")
+    held = inline.select("id", F.substring("text", 1, how.inline_chars).alias("held")) if inline is not None else chunks.select(F.col("chunk_id").alias("id"), F.lit("").alias("held")).limit(0)
     around = F.explode(F.when((F.col("query_id.step") == 1) & F.col("vault_id").isNotNull(), F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(0)))).alias("d")
-    rows = hits.join(at, "id", "left").join(held, "id", "left").select("*", around).withColumn("chunk_index", F.col("chunk_index") + F.col("d"))
-    rows = rows.join(chunks.select("vault_id", "chunk_index", "text"), ["vault_id", "chunk_index"], "left")
-    near = F.when((F.col("d") != 0) & F.col("text").isNotNull(), F.struct("d", F.substring("text", 1, how.neighbour_chars).alias("text")))
-    one = rows.groupBy("query_id", "k", "score").agg(F.max(F.when(F.col("d") == 0, F.col("text"))).alias("text"), F.max(F.when(F.col("d") == 0, F.col("chunk_index"))).alias("at"), F.max("held").alias("held"), F.sort_array(F.collect_list(near)).alias("near"))
+    rows = hits.join(held, "id", "left").select("*", around).withColumn("chunk_index", F.col("chunk_index") + F.col("d"))
+    at = ["vault_id", "chunk_index"]
+    rows = rows.join(likely(chunks.select(*at, "text"), at, rows), at, "left").withColumn("request_id", F.col("query_id.request_id")).withColumn("text", F.when(F.col("d") == 0, F.col("text")).otherwise(F.substring("text", 1, how.neighbour_chars)))
+    rows = rows.repartition("request_id")  # texts move once for all that follows
+    near = F.when((F.col("d") != 0) & F.col("text").isNotNull(), F.struct("d", "text"))
+    one = rows.groupBy("request_id", "query_id", "k", "score").agg(F.max(F.when(F.col("d") == 0, F.col("text"))).alias("text"), F.max(F.when(F.col("d") == 0, F.col("chunk_index"))).alias("at"), F.max("held").alias("held"), F.sort_array(F.collect_list(near)).alias("near"))
     score = F.concat(F.lit(" (score: "), F.floor(F.col("score") * 100 + 0.5).cast("string"), F.lit("%)]\n"))
     whole = F.concat(F.lit("[Chunk "), F.col("at").cast("string"), score, F.col("text"), F.when(F.size("near") > 0, F.concat(F.lit("\n\n[Surrounding Context]\n"), F.array_join("near.text", "\n...\n"))).otherwise(""))
-    snippet = F.when(F.col("held") != "", F.concat(F.lit("[Chunk "), F.col("k").cast("string"), score, F.substring("held", 1, how.inline_chars)))
-    one = one.select(F.col("query_id.request_id").alias("request_id"), F.col("query_id.step").alias("step"), "k", whole.alias("whole"), snippet.alias("snippet"))
+    snippet = F.when(F.col("held") != "", F.concat(F.lit("[Chunk "), F.col("k").cast("string"), score, F.col("held")))
+    one = one.select("request_id", F.col("query_id.step").alias("step"), "k", whole.alias("whole"), snippet.alias("snippet"))
 
     def joined(step: int, c: str) -> Column:
         pieces = F.sort_array(F.collect_list(F.when((F.col("step") == step) & F.col(c).isNotNull(), F.struct("k", c))))
@@ -98,13 +105,15 @@ def retrieve(
     ``inline``: id, text of what the search holds. A request whose vault isn't there goes on to the next tiers. Empty texts answer nothing.
     """
     wanted = requests.select("vault_id").filter("vault_id IS NOT NULL").distinct()
-    whole = chunks.join(wanted, "vault_id", "left_semi").groupBy("vault_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
+    # inner joins with distinct keys: a semi join would be moved below what likely() leaves out
+    whole = likely(chunks, ["vault_id"], wanted).join(wanted, "vault_id").groupBy("vault_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
     whole = whole.select("vault_id", F.array_join(F.transform("c", lambda x: F.concat(F.lit("[Chunk "), x["chunk_index"].cast("string"), F.lit("]\n"), x["text"])), "\n\n").alias("whole"))
-    stored = raw.join(wanted, "vault_id", "left_semi").groupBy("vault_id").agg(F.max("text").alias("raw"))
+    stored = likely(raw, ["vault_id"], wanted).join(wanted, "vault_id").groupBy("vault_id").agg(F.max("text").alias("raw"))
     query = F.coalesce("query", F.lit(""))
     hints = once(requests, _line=F.regexp_extract(query, LINE_HINT, 1).try_cast("int"), _path=F.regexp_replace(F.regexp_extract(query, FILE_PATH, 1), r"\\", "/"))
-    texts = files.select(F.col("path").alias("_path"), F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n").alias("_lines"))
-    slices = hints.filter("_line IS NOT NULL AND _path <> ''").join(texts, "_path").select("request_id", line_slice(F.col("_path"), F.col("_lines"), F.col("_line"), how).alias("slice")).groupBy("request_id").agg(F.max("slice").alias("slice"))
+    hints = hints.filter("_line IS NOT NULL AND _path <> ''")
+    texts = likely(files.select(F.col("path").alias("_path"), "text"), ["_path"], hints).select("_path", F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n").alias("_lines"))
+    slices = hints.join(texts, "_path").select("request_id", line_slice(F.col("_path"), F.col("_lines"), F.col("_line"), how).alias("slice")).groupBy("request_id").agg(F.max("slice").alias("slice"))
     known = requests.join(whole, "vault_id", "left").join(stored, "vault_id", "left").join(slices, "request_id", "left")
     vault = lambda c: F.when(F.length(c) > 0, F.concat(F.lit("[Vault "), F.col("vault_id"), F.lit("]\n\n"), F.col(c)))
     direct = F.coalesce(F.when(vault("whole").isNotNull(), F.struct(F.lit(0).alias("tier"), vault("whole").alias("text"))), F.when(vault("raw").isNotNull(), F.struct(F.lit(1).alias("tier"), vault("raw").alias("text"))), F.when(F.col("slice").isNotNull(), F.struct(F.lit(2).alias("tier"), F.col("slice").alias("text"))))

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, vault_retrieval
-from ..sources.shared import shared_folder
+from ..operators.best_texts import best_texts
 from ..sources.tables import table
-from ..sources.text_index import TextIndex
 from .index import search_sql
 from .registry import query
 from .store import CHUNKS_SQL
@@ -48,15 +47,13 @@ FROM direct LEFT JOIN pieces p ON p.query_id = request_id LEFT JOIN snippets s O
 
 @query("vault_requests", VAULT_SQL)
 def vault_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without vectors for turns, search is by terms alone; a search with both is in the tests."""
+    """Without vectors for turns, search is by terms alone, and only the best of each request are found; a search with both is in the tests."""
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     known = dedup.line_chunks(docs, "doc_id", "text").select(
         F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("vault_id"), "doc_id", (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "chunk_index", F.col("chunk_text").alias("text")
     )
-    index = TextIndex(spark, shared_folder(spark, "vault-index"), buckets=16)
     searched = known.select(F.col("chunk_id").alias("id"), "text")
-    index.write(1, searched)
     requests = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").selectExpr(*[f"{v} AS {k}" for k, v in REQUEST.items()])
     files = docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     raw = docs.select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("vault_id"), "text")
-    return vault_retrieval.retrieve(requests, known.filter("doc_id % 7 <> 0").drop("doc_id"), raw, files, index.search, inline=searched)
+    return vault_retrieval.retrieve(requests, known.filter("doc_id % 7 <> 0").drop("doc_id"), raw, files, lambda asked: best_texts(spark, asked, searched, vault_retrieval.Tiers().first_k), inline=searched)
