@@ -329,7 +329,7 @@ def near_copies(rows: DataFrame, texts: DataFrame, width: int, radius: int, leas
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(hashes, pa.binary())], names=["node", "least_id", "hashes"])
 
     sets = cut(map_arrow(needed, shingles, f"node long, least_id {dict(wanted.dtypes)['least_id']}, hashes binary").dropDuplicates(["node"]))
-    sizes = sets.select("node", F.length("hashes").alias("bytes"))
+    sizes = compact(sets.select("node", F.length("hashes").alias("bytes")))
     tidy(rows.sparkSession)
     every = compact(sized(members, sizes))
     largest = every.groupBy("node").agg(F.max(F.struct("n", "key")).alias("k")).select("node", F.col("k.key").alias("key"))
