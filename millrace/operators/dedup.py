@@ -1,7 +1,8 @@
-"""Duplicates within a key, and a fingerprint of 64 bits, in built-in expressions."""
+"""Duplicates within a key, and a fingerprint of 64 bits."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from operator import and_
@@ -9,9 +10,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 MASK = 0xFFFFFFFF
 # The 64-bit FNV-1a offset, as two's complement, and its prime 2^40 + 435.
 FNV_OFFSET, FNV_PRIME_LOW = -3750763034362895579, 435
+# Rows of one fingerprint that go together, and rows of one share of the fingerprints that agree in two blocks.
+PIECE, SHARE = 256, 4096
 
 
 def fnv64(word: Column) -> Column:
@@ -33,19 +38,73 @@ def fnv64(word: Column) -> Column:
     return F.when(F.octet_length(word) > 0, F.aggregate(bytes_, F.lit(FNV_OFFSET).cast("long"), step)).otherwise(F.lit(FNV_OFFSET).cast("long"))
 
 
+def word_hashes(data, bounds) -> tuple:
+    """(h, first): FNV-1a of each word ([a-z0-9_]+) of the bytes ``data``, in order, and where each text's words begin among them; text k is ``data[bounds[k]:bounds[k + 1]]``."""
+    import numpy as np
+
+    table = np.zeros(256, bool)
+    table[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8)] = True
+    inside = np.concatenate([[False], table[data], [False]])
+    cut = np.zeros(len(data) + 1, bool)  # no word goes over the end of a text
+    cut[bounds] = True
+    start = np.flatnonzero(inside[1:-1] & (cut[:-1] | ~inside[:-2]))
+    length = np.flatnonzero(inside[1:-1] & (cut[1:] | ~inside[2:])) + 1 - start
+    order = np.argsort(-length, kind="stable")
+    at, more = start[order], np.cumsum(np.bincount(length, minlength=1)[::-1])[::-1]  # more[j]: words of j bytes at least
+    h, prime = np.full(len(at), FNV_OFFSET + (1 << 64), np.uint64), np.uint64((1 << 40) + FNV_PRIME_LOW)
+    for j in range(len(more) - 1):
+        if (n := more[j + 1]) < 16:  # the rest of a few long words
+            for k in range(n):
+                x = int(h[k])
+                for byte in data[at[k] + j : at[k] + length[order[k]]].tobytes():
+                    x = (x ^ byte) * ((1 << 40) + FNV_PRIME_LOW) & ((1 << 64) - 1)
+                h[k] = x
+            break
+        h[:n] = (h[:n] ^ data[at[:n] + j]) * prime
+    out = np.empty_like(h)
+    out[order] = h
+    return out, np.searchsorted(start, bounds)
+
+
+def _votes(batches: Iterator) -> Iterator:
+    """(id, b0, ..., b63) of rows (id, text): how many words of a text have the bit in their hash, less those that haven't; texts without words are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        begin = 0
+        while begin < len(texts):  # some megabytes at a time
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + (4 << 20), "right")) - 1)
+            h, first = word_hashes(data[at[begin] : at[end]], at[begin : end + 1] - at[begin])
+            words = np.diff(first)
+            some = np.flatnonzero(words)
+            if len(some):
+                votes = np.empty((64, len(some)), np.int64)
+                for k in range(32):  # two sums at once
+                    both = np.add.reduceat(h >> np.uint64(k) & np.uint64(1 << 32 | 1), first[some])
+                    votes[k], votes[k + 32] = both & np.uint64(MASK), both >> np.uint64(32)
+                votes = 2 * votes - words[some]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + some)), *map(pa.array, votes)], ["id", *(f"b{k}" for k in range(64))])
+            begin = end
+
+
 def word_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp): majority bits of the FNV-1a hashes of a text's words ([a-z0-9_]+ of the lowered text).
 
-    Words are hashed once for each document and distinct word, weighted by their frequency.
+    A text's votes are added up where it is read; one row of 64 counts a text goes through a shuffle, for ids that occur again.
     """
-    words = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9_]+"), 0)).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
-    hashed = words.withColumn("h", fnv64(F.col("w")))
-    votes = [F.sum(F.when(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)]
-    bits = hashed.groupBy(id_col).agg(*votes)
+    ship(docs.sparkSession)
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"b{i} long" for i in range(64))
+    bits = rows.mapInArrow(_votes, schema).groupBy("id").agg(*[F.sum(f"b{i}").alias(f"b{i}") for i in range(64)])
     fp: Column = F.lit(0).cast("long")
     for i in range(64):
         fp = fp.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return bits.select(id_col, fp.alias("fp"))
+    return bits.select(F.col("id").alias(id_col), fp.alias("fp"))
 
 
 def threshold(length: Column) -> Column:
@@ -66,20 +125,35 @@ def near_in_key(rows: DataFrame, keys: list[str], order: list[str], fp: str, len
 def hamming_pairs(rows: DataFrame, id_col: str, fp: str, radius: int = 3) -> DataFrame:
     """(a, b, distance): pairs at most ``radius`` (3 at most) bits apart.
 
-    Distinct fingerprints meet by equality on two of five blocks, which three bits can't all change; only those that are near get their rows.
+    Distinct fingerprints meet by equality on two of five blocks, which three bits can't all change. They bring their rows, in pieces, so that the pairs,
+    many more than all that is read, are made where fingerprints meet and don't move. What shares two blocks is dealt to cells of two shares each, of so
+    many rows that no task makes the pairs of a frequent value alone.
     """
+    spark = rows.sparkSession
     blocks = [(64 * i // 5, 64 * (i + 1) // 5 - 64 * i // 5) for i in range(5)]
     value = lambda x, i: F.shiftrightunsigned(x, blocks[i][0]).bitwiseAND(F.lit((1 << blocks[i][1]) - 1))
     two = list(combinations(range(5), 2))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), value(F.col("fp"), i).alias("u"), value(F.col("fp"), j).alias("v")) for k, (i, j) in enumerate(two)])
-    members = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
-    cut = members.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
+    members = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")).filter("id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.collect_list("id").alias("all"))
+    pieces = members.select("fp", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PIECE).cast("int")), lambda k: F.slice("all", k * PIECE + 1, F.lit(PIECE)))).alias("p", "ids"))
+    cut = pieces.select("fp", "p", "ids", F.inline(keys))
+    on = ["k", "u", "v"]
+    shares = cut.groupBy(*on).agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") > SHARE).select(*on, F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    dealt = cut.join(shares, on, "left").withColumn("shares", F.coalesce("shares", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp", "p"), F.col("shares")).cast("int"))
+    # a number of partitions that is given stays as it is: those that are small when read may be large when paired
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    cells = lambda side, i, j: dealt.select(F.col("fp").alias(f"f{side}"), F.col("p").alias(f"p{side}"), F.col("ids").alias(f"ids{side}"), *on, i, j).repartition(n, *on, "i", "j")
+    own, last = F.col("own"), F.col("shares") - 1
+    left = cells("a", own.alias("i"), F.explode(F.sequence(own, last)).alias("j"))
+    right = cells("b", F.explode(F.sequence(F.lit(0), own)).alias("i"), own.alias("j"))
     x = F.col("fa").bitwiseXOR(F.col("fb"))
     # a pair that agrees in several keys is taken from the first
     first = F.coalesce(*[F.when((value(x, i) == 0) & (value(x, j) == 0), F.lit(k)) for k, (i, j) in enumerate(two)])
-    near = cut.select(F.col("fp").alias("fa"), "key").join(cut.select(F.col("fp").alias("fb"), "key"), "key").filter("fa <= fb").filter(F.bit_count(x) <= radius).filter(F.col("key.k") == first)
-    found = near.select("fa", "fb").join(members.select(F.col("id").alias("x"), F.col("fp").alias("fa")), "fa").join(members.select(F.col("id").alias("y"), F.col("fp").alias("fb")), "fb")
-    return found.filter("x < y OR (x > y AND fa <> fb)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.bit_count(x).cast("int").alias("distance"))
+    once = "i < j OR fa < fb OR (fa = fb AND pa <= pb)"
+    near = left.join(right, [*on, "i", "j"]).filter(F.bit_count(x) <= radius).filter(once).filter(F.col("k") == first)
+    same = F.expr("fa = fb AND pa = pb").alias("same")
+    found = near.select("idsb", same, F.bit_count(x).cast("int").alias("distance"), F.explode("idsa").alias("x")).select("x", "same", "distance", F.explode("idsb").alias("y"))
+    return found.filter("x < y OR (x > y AND NOT same)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
