@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import words
 
 MASK = 0xFFFFFFFF
 # The 64-bit FNV-1a offset, as two's complement, and its prime 2^40 + 435.
@@ -38,58 +39,22 @@ def fnv64(word: Column) -> Column:
     return F.when(F.octet_length(word) > 0, F.aggregate(bytes_, F.lit(FNV_OFFSET).cast("long"), step)).otherwise(F.lit(FNV_OFFSET).cast("long"))
 
 
-def word_hashes(data, bounds) -> tuple:
-    """(h, first): FNV-1a of each word ([a-z0-9_]+) of the bytes ``data``, in order, and where each text's words begin among them; text k is ``data[bounds[k]:bounds[k + 1]]``."""
-    import numpy as np
-
-    table = np.zeros(256, bool)
-    table[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8)] = True
-    inside = np.concatenate([[False], table[data], [False]])
-    cut = np.zeros(len(data) + 1, bool)  # no word goes over the end of a text
-    cut[bounds] = True
-    start = np.flatnonzero(inside[1:-1] & (cut[:-1] | ~inside[:-2]))
-    length = np.flatnonzero(inside[1:-1] & (cut[1:] | ~inside[2:])) + 1 - start
-    order = np.argsort(-length, kind="stable")
-    at, more = start[order], np.cumsum(np.bincount(length, minlength=1)[::-1])[::-1]  # more[j]: words of j bytes at least
-    h, prime = np.full(len(at), FNV_OFFSET + (1 << 64), np.uint64), np.uint64((1 << 40) + FNV_PRIME_LOW)
-    for j in range(len(more) - 1):
-        if (n := more[j + 1]) < 16:  # the rest of a few long words
-            for k in range(n):
-                x = int(h[k])
-                for byte in data[at[k] + j : at[k] + length[order[k]]].tobytes():
-                    x = (x ^ byte) * ((1 << 40) + FNV_PRIME_LOW) & ((1 << 64) - 1)
-                h[k] = x
-            break
-        h[:n] = (h[:n] ^ data[at[:n] + j]) * prime
-    out = np.empty_like(h)
-    out[order] = h
-    return out, np.searchsorted(start, bounds)
-
-
 def _votes(batches: Iterator) -> Iterator:
     """(id, b0, ..., b63) of rows (id, text): how many words of a text have the bit in their hash, less those that haven't; texts without words are left out."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        _, offsets, data = texts.buffers()
-        at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        begin = 0
-        while begin < len(texts):  # some megabytes at a time
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + (4 << 20), "right")) - 1)
-            h, first = word_hashes(data[at[begin] : at[end]], at[begin : end + 1] - at[begin])
-            words = np.diff(first)
-            some = np.flatnonzero(words)
+        for begin, _, h, first in words.slices(batch.column(1), words.LOWER + words.DIGITS + b"_"):
+            n = np.diff(first)
+            some = np.flatnonzero(n)
             if len(some):
                 votes = np.empty((64, len(some)), np.int64)
                 for k in range(32):  # two sums at once
                     both = np.add.reduceat(h >> np.uint64(k) & np.uint64(1 << 32 | 1), first[some])
                     votes[k], votes[k + 32] = both & np.uint64(MASK), both >> np.uint64(32)
-                votes = 2 * votes - words[some]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + some)), *map(pa.array, votes)], ["id", *(f"b{k}" for k in range(64))])
-            begin = end
+                votes = 2 * votes - n[some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + some)), *map(pa.array, votes)], ["id", *(f"b{k}" for k in range(64))])
 
 
 def word_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -56,4 +56,6 @@ def vault_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").selectExpr(*[f"{v} AS {k}" for k, v in REQUEST.items()])
     files = docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     raw = docs.select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("vault_id"), "text")
-    return vault_retrieval.retrieve(requests, known.filter("doc_id % 7 <> 0").drop("doc_id"), raw, files, lambda asked: best_texts(spark, asked, searched, vault_retrieval.Tiers().first_k), inline=searched)
+    # all terms of the second step are in the first, and what is found has a text inline: where the first step finds nothing, neither does the second
+    search = lambda asked: best_texts(spark, asked.filter("query_id.step = 1"), searched, vault_retrieval.Tiers().first_k)
+    return vault_retrieval.retrieve(requests, known.filter("doc_id % 7 <> 0").drop("doc_id"), raw, files, search, inline=searched)
